@@ -34,13 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lectern.llm import arrow_text as A
 from lectern.llm.shared import single_threaded
 
 #: The pre-tokenisation pattern of the byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNK_BITS, CHUNK_MIN, CHUNK_MAX = 11, 512, 16384
 #: Chunks a task keeps.
-KEPT_CHUNKS = 20_000
+KEPT_CHUNKS = 5_000
+#: Bytes of texts or ids a task works on at a time.
+SLICE = 2 << 20
 SOLID = re.compile(r"(?<=\S)(?=\s)")
 
 
@@ -152,15 +155,6 @@ def encode_batch(values: np.ndarray, offsets: np.ndarray, encode, kept: dict) ->
     return out
 
 
-def _buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    array = array.cast(pa.large_string()).fill_null("")
-    if isinstance(array, pa.ChunkedArray):
-        array = array.combine_chunks()
-    _, offsets, values = array.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1] if len(array) else np.zeros(1, np.int64)
-    return np.frombuffer(values, np.uint8) if values is not None and values.size else np.empty(0, np.uint8), offsets
-
-
 def _with(batch: pa.RecordBatch, name: str, array: pa.Array) -> pa.RecordBatch:
     names = [n for n in batch.schema.names if n != name]
     return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(n)) for n in names), array], [*names, name])
@@ -170,42 +164,28 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of about `most` bytes in `column` at most, or of one row."""
-    for batch in batches:
-        size = batch.column(batch.schema.names.index(column)).nbytes
-        rows = max(1, batch.num_rows * most // max(size, most))
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with `ids`, the token ids of `text`."""
-
+def _encoder(path: str, text: str, ids: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = vocabulary(vocabulary_path)[0]
+        encoding = vocabulary(path)[0]
         kept: dict = {}
 
         def one(s: str) -> np.ndarray:
             return encoding.encode_to_numpy(s, allowed_special="all")
 
-        for batch in _slices(batches, text):
-            values, offsets = _buffers(batch.column(batch.schema.names.index(text)))
-            found = encode_batch(values, offsets, one, kept)
+        for batch in A.slices(batches, text, SLICE):
+            found = encode_batch(*A.text_buffers(A.column(batch, text)), one, kept)
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             flat = np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)
             yield _with(batch, ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
 
-    return docs.mapInArrow(run, _schema(docs, ids, T.ArrayType(T.IntegerType())))
-
+    return run
 
-def decode(docs: DataFrame, vocabulary_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """docs with `text`, what the token ids in `ids` stand for; special tokens are kept."""
 
+def _decoder(path: str, ids: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, tokens, starts, lengths = vocabulary(vocabulary_path)
-        for batch in _slices(batches, ids):
-            column = batch.column(batch.schema.names.index(ids))
+        _, tokens, starts, lengths = vocabulary(path)
+        for batch in A.slices(batches, ids, SLICE):
+            column = A.column(batch, ids)
             sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             n = lengths[flat]
@@ -213,13 +193,28 @@ def decode(docs: DataFrame, vocabulary_path: str, ids: str = "ids", text: str =
             data = tokens[np.repeat(starts[flat] - before, n) + np.arange(int(n.sum()))]
             ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
             raw = data.tobytes()
-            try:
-                raw.decode()
-                if len(ends) > 2 and ((data[ends[:-1][ends[:-1] < len(data)]] & 0xC0) == 0x80).any():
-                    raise ValueError
-                out = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.string())
-            except ValueError:
-                out = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
-            yield _with(batch, text, out)
-
-    return docs.mapInArrow(run, _schema(docs, text, T.StringType()))
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield _with(batch, text, pa.array(texts, pa.string()))
+
+    return run
+
+
+def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """docs with `ids`, the token ids of `text`."""
+    return docs.mapInArrow(_encoder(vocabulary_path, text, ids), _schema(docs, ids, T.ArrayType(T.IntegerType())))
+
+
+def decode(docs: DataFrame, vocabulary_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """docs with `text`, what the token ids in `ids` stand for; special tokens are kept."""
+    return docs.mapInArrow(_decoder(vocabulary_path, ids, text), _schema(docs, text, T.StringType()))
+
+
+def round_trip(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode, then decode what it gave, in one Python worker a task instead of two."""
+    encoder, decoder = _encoder(vocabulary_path, text, ids), _decoder(vocabulary_path, ids, decoded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return decoder(encoder(batches))
+
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name not in (ids, decoded)), T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+    return docs.mapInArrow(run, schema)

@@ -34,9 +34,7 @@ def byte_bpe() -> str:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, byte_bpe()).drop("text")
-    out = bpe.decode(ids, byte_bpe())
-    return out.select(
+    return bpe.round_trip(docs, byte_bpe()).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
