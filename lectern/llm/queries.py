@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat_format, minhash
+from lectern.llm import bpe, chat_format, minhash, toxicity
 from lectern.llm.shared import table
 
 
@@ -45,7 +45,11 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op3_bpe": op3_bpe, "op9_minhash": op9_minhash}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_chat_format": op1_chat_format, "op3_bpe": op3_bpe, "op4_toxicity": op4_toxicity, "op9_minhash": op9_minhash}
 
 _OP1 = r"""
 WITH t AS (
