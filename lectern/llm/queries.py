@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat_format, minhash, toxicity
+from lectern.llm import bpe, chat_format, language_id, minhash, quality, toxicity
 from lectern.llm.shared import table
 
 
@@ -49,7 +49,22 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op3_bpe": op3_bpe, "op4_toxicity": op4_toxicity, "op9_minhash": op9_minhash}
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_language_id": op2_language_id,
+    "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
+    "op9_minhash": op9_minhash,
+}
 
 _OP1 = r"""
 WITH t AS (
