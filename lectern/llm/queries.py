@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat_format, language_id, minhash, quality, toxicity
+from lectern.llm import bpe, chat_format, language_id, minhash, quality, suffix_dedup, toxicity
 from lectern.llm.shared import table
 
 
@@ -57,6 +57,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n_bytes", F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
@@ -64,6 +72,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op9_minhash": op9_minhash,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _OP1 = r"""
