@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat_format, language_id, minhash, quality, suffix_dedup, toxicity
+from lectern.llm import bpe, chat_format, decontamination, language_id, minhash, quality, suffix_dedup, toxicity
 from lectern.llm.shared import table
 
 
@@ -65,12 +65,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
+    "op6_decontamination": op6_decontamination,
     "op9_minhash": op9_minhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
