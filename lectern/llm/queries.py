@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat_format, decontamination, language_id, minhash, quality, suffix_dedup, toxicity
+from lectern.llm import bpe, chat_format, decontamination, language_id, minhash, permutation_index, quality, suffix_dedup, toxicity
 from lectern.llm.shared import table
 
 
@@ -69,6 +69,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
@@ -76,6 +80,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
+    "op7_permutation_index": op7_permutation_index,
     "op9_minhash": op9_minhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
