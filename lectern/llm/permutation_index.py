@@ -33,7 +33,7 @@ from lectern.llm.shared import written
 
 PIVOTS, ORDER = 256, 64
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 4_096
-SHARE, FLOOR = 0.15, 400
+SHARE, FLOOR, CLOSE = 0.15, 400, 0.6
 RESULT = "query_id bigint, vec_id bigint, score double"
 
 
@@ -45,13 +45,23 @@ def valid(v: Column) -> Column:
 
 
 def pivots(vectors: DataFrame, most: int) -> np.ndarray:
-    """At most `most` distinct vectors of the commonest length, of unit length, chosen by hash."""
+    """At most `most` vectors of the commonest length, of unit length: of a bounded sample of distinct vectors
+    (8 times as many, chosen by hash), those that lie farthest from the ones before, so a crowd of
+    near copies gives one pivot."""
     size = vectors.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
     if not size:
         return np.zeros((0, 1))
-    some = vectors.where(F.size("v") == size[0][0]).select("v", F.xxhash64("v").alias("h")).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(most).toArrow()
+    some = vectors.where(F.size("v") == size[0][0]).select("v", F.xxhash64("v").alias("h")).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").limit(8 * most).toArrow()
     x = np.array(some.column("v").to_pylist(), np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    chosen, near = [0], x @ x[0]
+    while len(chosen) < min(most, len(x)):
+        far = int(near.argmin())
+        if near[far] > 0.999:
+            break
+        chosen.append(far)
+        near = np.maximum(near, x @ x[far])
+    return x[chosen]
 
 
 def orders(x: np.ndarray, of: np.ndarray, depth: int) -> np.ndarray:
@@ -82,7 +92,9 @@ def search_block(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndar
                 there = rank[a:b]
                 saved[owner[a:b]] += 2 * (depth - np.maximum(there, r)).astype(np.int16)
             line = np.partition(saved, len(ids) - count)[len(ids) - count]
-            chosen = np.flatnonzero(saved >= max(line, 1)) if line > 0 else np.arange(len(ids))
+            # All orders close to the query's are candidates, however many: a crowd of near copies is ranked too finely to cut.
+            line = min(line, int(CLOSE * depth * (depth + 1)))
+            chosen = np.flatnonzero(saved >= line) if line > 0 else np.arange(len(ids))
         else:
             chosen = np.arange(len(ids))
         score = (x[chosen] * q[n]).sum(axis=1)
@@ -110,8 +122,15 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, share: float = SHA
         ids = group.column("vec_id").to_numpy()
         x = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         asked = np.array(group.column("query").to_pylist(), bool)
-        own = np.argsort(ids[~asked], kind="stable")
-        found = list(search_block(ids[~asked][own], x[~asked][own], ids[asked], x[asked], of, k, share, floor)) if asked.any() and not asked.all() else []
+        if asked.all() or not asked.any():
+            return pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()))})
+        # Of equal vectors the k + 1 smallest ids alone can be among the k nearest of anything.
+        same = np.unique(x[~asked], axis=0, return_inverse=True)[1].ravel()
+        own = np.lexsort((ids[~asked], same))
+        first = np.searchsorted(same[own], same[own], "left")
+        own = own[np.arange(len(own)) - first <= k]
+        own = own[np.argsort(ids[~asked][own], kind="stable")]
+        found = list(search_block(ids[~asked][own], x[~asked][own], ids[asked], x[asked], of, k, share, floor))
         return pa.table({
             "query_id": pa.array(np.concatenate([np.full(len(i), q) for q, i, _ in found]) if found else [], pa.int64()),
             "vec_id": pa.array(np.concatenate([i for _, i, _ in found]) if found else [], pa.int64()),
