@@ -2,17 +2,17 @@
 
 Each permutation's minimum and maximum are both kept, so half the hash evaluations give a signature of
 the same length; both are unbiased estimates of the same similarity. Rows of a band come from
-different permutations. With 180 permutations there are 60 bands of 6 rows: a pair at similarity 0.8
-misses every band with a probability of about 1e-8.
+different permutations. With 144 permutations there are 48 bands of 6 rows: a pair at similarity 0.8
+misses every band with a probability of 5e-7, a closer one with far less.
 
 1. Documents with equal shingle sets are one class with its smallest id as representative.
-2. Representatives that share a band are candidates. In each bucket all members are paired with four
-   centres (smallest and largest id, and the least by two hashes), not with each other.
+2. Representatives that share a band are candidates. In each bucket all members are paired with three
+   centres (the smallest id, and of two halves of the ids the one that shares most buckets, as the
+   least changed of a group of copies does), not with each other.
 3. Candidates are confirmed on the full shingle sets, and links give components.
-4. Buckets whose members are still in several components have the remaining pairs across components
-   (members outside the bucket's largest component, against all others) confirmed too. So no pair that
-   shares a bucket and could join two components goes unchecked, and groups of near copies never
-   expand into all pairs.
+4. Where a bucket's members are still in several components, those outside its largest one are compared,
+   on full sets and block by block, with all of that component and with each other. So no pair that
+   shares a bucket and could join two components goes unchecked, and no pairs but links are emitted.
 
 Scale: texts are shuffled once, to keep those of candidates; hot classes, buckets and centres are
 pre-aggregated, or joined where both sides are shuffled, so that AQE can split them.
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm import arrow_text as A
 from lectern.llm.components import components
-from lectern.llm.shared import written
+from lectern.llm.shared import discard, written
 
-PERMUTATIONS, ROWS = 180, 6
+PERMUTATIONS, ROWS = 144, 6
 
 
 def _family(permutations: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +131,69 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def confirm_families(apart: DataFrame, every: DataFrame, texts: DataFrame, words: int, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) across components, between the documents of apart (family, doc_id) and all of their family:
+    the component `family` of every (doc_id, label) and the other documents apart. Both sides are dealt into blocks of
+    about `block` documents, and each pair of blocks is compared in a task that gives only links."""
+    inside = every.join(apart.select("family").distinct(), F.col("label") == F.col("family")).select("family", "doc_id")
+    whole = written(apart.withColumn("apart", F.lit(True)).unionByName(inside.withColumn("apart", F.lit(False))), "families")
+    parts = whole.groupBy("family").agg(
+        F.ceil(F.count("*") / block).cast("int").alias("right_parts"), F.ceil(F.count_if("apart") / block).cast("int").alias("left_parts"))
+    dealt = whole.join(written(parts, "parts"), "family")
+    own = F.xxhash64("doc_id")
+    left = dealt.where("apart").select("family", "doc_id", F.lit(True).alias("left"), F.pmod(own, "left_parts").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("right_parts") - 1)).alias("j"))
+    right = dealt.select("family", "doc_id", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("left_parts") - 1)).alias("i"), F.pmod(own, "right_parts").cast("int").alias("j"))
+    key = ["family", "i", "j"]
+    rows = left.unionByName(right).join(texts.join(every, "doc_id"), "doc_id").select(*key, "left", "doc_id", "label", "text").repartition(*key).sortWithinPartitions(*key)
+
+    def compare(ids: list, labels: list, lefts: list, sets: list) -> Iterator[tuple[int, int]]:
+        x, y = [k for k, own in enumerate(lefts) if own], [k for k, own in enumerate(lefts) if not own]
+        n = np.array([len(s) for s in sets])
+        common = np.zeros((len(x), len(y)), np.float32)
+        flat = np.concatenate(sets)
+        values, token = np.unique(flat, return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), n)
+        often = np.bincount(token, minlength=len(values)) > 1
+        number = np.cumsum(often) - 1
+        keep = often[token]
+        token, owner = number[token[keep]], owner[keep]
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        for start in range(0, int(often.sum()), 2048):
+            a, b = np.searchsorted(token, [start, start + 2048])
+            dense = np.zeros((len(sets), 2048), np.float32)
+            dense[owner[a:b], token[a:b] - start] = 1
+            common += dense[x] @ dense[y].T
+        near = 100 * common >= percent * (n[x][:, None] + n[y][None] - common)
+        for r, c in zip(*np.nonzero(near), strict=True):
+            p, q = ids[x[r]], ids[y[c]]
+            if labels[x[r]] != labels[y[c]]:
+                yield min(p, q), max(p, q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, labels, lefts, sets, out = None, [], [], [], [], []
+        for batch in A.slices(batches, "text"):
+            hashes, counts = A.word_hashes(*A.text_buffers(A.column(batch, "text")))
+            owns = np.split(hashes, np.cumsum(counts)[:-1])
+            keys = zip(*(A.column(batch, k).to_pylist() for k in [*key, "left", "doc_id", "label"]), strict=True)
+            for (family, i, j, is_left, doc, label), own in zip(keys, owns, strict=True):
+                if (family, i, j) != at:
+                    if ids:
+                        out += compare(ids, labels, lefts, sets)
+                    at, ids, labels, lefts, sets = (family, i, j), [], [], [], []
+                ids.append(doc)
+                labels.append(label)
+                lefts.append(is_left)
+                sets.append(A.shingles(own, words))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
+                out = []
+        if ids and (out := list(compare(ids, labels, lefts, sets))):
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([q for _, q in out], pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable over
     links of at least `percent` per cent similarity), kept (doc_id = component_id)."""
@@ -147,36 +210,35 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, permutat
     posted = sig.where("size(bands) > 0 and doc_id is not null").join(reps, "doc_id", "left_semi").select(
         "doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band")
     )
-    one = F.struct("doc_id", "n")
-    buckets = posted.groupBy("band").agg(
-        F.count("*").alias("size"), F.min(one).alias("c1"), F.max(one).alias("c2"),
-        F.min(F.struct(F.xxhash64("doc_id", F.lit(1)).alias("h"), "doc_id", "n")).alias("c3"),
-        F.min(F.struct(F.xxhash64("doc_id", F.lit(2)).alias("h"), "doc_id", "n")).alias("c4"),
-    ).where("size > 1 and c1.doc_id < c2.doc_id")
-    buckets = written(buckets.select("band", F.array_distinct(F.array(
-        "c1", "c2", F.struct("c3.doc_id", "c3.n"), F.struct("c4.doc_id", "c4.n"))).alias("centres")), "buckets")
-    shared = written(posted.join(buckets, "band").select("band", "doc_id", "n", "centres"), "shared")
-    texts = written(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-
-    def alike(x: str, y: str) -> str:
-        return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
-
-    pairs = shared.select("doc_id", "n", F.explode("centres").alias("c")).where(f"doc_id <> c.doc_id and {alike('n', 'c.n')}").select(
-        F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
-    tried = written(pairs, "pairs")
-    links = written(confirm(tried, texts, words, percent), "links")
+    sizes = posted.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    shared = written(posted.join(sizes, "band").select("band", "doc_id", "n", "size"), "shared")
+    common = written(shared.groupBy("doc_id").agg(F.sum("size").alias("common")), "common")
+    ranked = shared.join(common, "doc_id")
+    best = F.struct("common", "doc_id", "n")
+    even = F.xxhash64("doc_id") % 2 == 0
+    centres = written(
+        ranked.groupBy("band").agg(
+            F.min(F.struct("doc_id", "n")).alias("c1"), F.max(F.when(even, best)).alias("c2"), F.max(F.when(~even, best)).alias("c3")
+        ).select("band", F.array_compact(F.array("c1", F.when(F.col("c2").isNotNull(), F.struct("c2.doc_id", "c2.n")), F.when(F.col("c3").isNotNull(), F.struct("c3.doc_id", "c3.n")))).alias("centres")),
+        "centres",
+    )
+    discard(sig, classes)
+    texts = written(docs.join(common.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    pairs = shared.join(centres, "band").select("doc_id", "n", F.explode("centres").alias("c")).where(
+        f"doc_id <> c.doc_id and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)"
+    ).select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
+    links = written(confirm(pairs, texts, words, percent), "links")
     label = components(links)
 
-    at = shared.select("band", "doc_id", "n").join(label, F.col("doc_id") == F.col("id"), "left").select("band", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
-    sizes = at.groupBy("band", "label").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("band").agg(F.count("*").alias("labels"), F.max_by("label", "size").alias("main")).where("labels > 1")
-    open_rows = written(at.join(mixed.select("band", "main"), "band"), "open")
-    left = open_rows.where("label <> main").select("band", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    right = open_rows.select("band", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-    more = left.join(right, (left.band == right.band) & (F.col("lx") != F.col("ly")) & F.expr(alike("nx", "ny"))).select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    found = written(confirm(more, texts, words, percent), "links")
+    every = written(common.join(label, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")), "labelled")
+    totals = written(every.groupBy("label").agg(F.count("*").alias("size")), "totals")
+    at = shared.select("band", "doc_id").join(every, "doc_id")
+    counts = at.join(totals, "label").groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("size", "label")).alias("family"))
+    mixed = written(counts.where("low < high").select("band", F.col("family.label").alias("family")), "mixed")
+    apart = written(at.join(mixed, "band").where("label <> family").select("family", "doc_id").distinct(), "apart")
+    discard(shared, centres, mixed)
+    found = written(confirm_families(apart, every, texts, words, percent), "links")
+    discard(texts)
     if found.limit(1).count():
         label = components(links.unionByName(found))
     return members.join(label, F.col("rep") == F.col("id"), "left").select(

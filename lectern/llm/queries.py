@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat_format, decontamination, language_id, minhash, permutation_index, quality, suffix_dedup, toxicity
-from lectern.llm.shared import table
+from lectern.llm import bpe, chat_format, decontamination, language_id, minhash, permutation_index, quality, suffix_dedup, toxicity, warc
+from lectern.llm.shared import new_path, table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,11 @@ def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
+    return warc.read_records(index.repartition("archive", F.floor(F.col("offset") / (16 << 20))).sortWithinPartitions("archive", "offset"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
@@ -81,6 +86,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_decontamination": op6_decontamination,
     "op7_permutation_index": op7_permutation_index,
+    "op8_warc": op8_warc,
     "op9_minhash": op9_minhash,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
@@ -121,4 +127,14 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM documents d JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op1_chat_format": _OP1, "op9_minhash": _OP9}
+_OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM m
+"""
+
+ORACLES = {"op8_warc": _OP8, "op1_chat_format": _OP1, "op9_minhash": _OP9}

@@ -33,7 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that written() made and nothing reads any more."""
+    for df in tables:
+        delete_path(df.sparkSession, df.written_to)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
