@@ -108,9 +108,12 @@ def fit(rows: DataFrame, max_docs: int = 3000, max_words: int = 100_000, max_typ
     types = counts.groupBy("lang").agg(F.count("*").alias("types"))
     some = counts.join(F.broadcast(types), "lang").where(F.pmod(F.xxhash64("w"), F.lit(unit)) < F.least(F.lit(1.0), F.lit(max_types) / F.col("types")) * unit)
     padded = F.concat(F.lit("\x02"), "w", F.lit("\x03"))
-    pieces = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(padded) - (k - 1))), lambda i, k=k: F.substring(padded, i, F.lit(k))) for k in ORDERS
-    ]))
+
+    def runs(k: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(padded) - (k - 1)))
+        return F.transform(places, lambda i: F.substring(padded, i, F.lit(k)))
+
+    pieces = F.flatten(F.array(*map(runs, ORDERS)))
     grams = some.select("lang", "n", F.explode(pieces).alias("g")).groupBy("g", "lang").agg(F.sum("n").alias("n"))
     return Model(languages, words, _table(grams.where(F.char_length("g") > 0), "g", languages))
 
