@@ -1,9 +1,11 @@
 """Registered queries over the driver's tables."""
 
+from lectern.plans import catalog, library, text
+
 
 def queries():
-    return {}
+    return {**catalog.QUERIES, **library.QUERIES, **text.QUERIES}
 
 
 def oracle_sql():
-    return {}
+    return {**catalog.ORACLES, **library.ORACLES, **text.ORACLES}
