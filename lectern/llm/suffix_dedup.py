@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import arrow_text as A
-from lectern.llm.shared import written
+from lectern.llm.shared import discard, written
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM = 200, 64
 PIECE = 1 << 20
 BLOCK_BYTES, MOST_CONTEXTS = 1 << 20, 4096
 INVERSE = pow(A.MULTIPLIER, -1, 1 << 64)
@@ -217,7 +217,7 @@ def _runs(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), last.tolist(), strict=True))
 
 
-MARKS = "seed bigint, ctx bigint, runs array<struct<s: int, e: int>>"
+MARKS = "seed bigint, ctx bigint, s int, e int"
 
 
 def mark_blocks(contexts: DataFrame, length: int) -> DataFrame:
@@ -228,9 +228,11 @@ def mark_blocks(contexts: DataFrame, length: int) -> DataFrame:
         held = 0
 
         def flush() -> pa.RecordBatch:
-            found = [(r[0], r[1], [{"s": s, "e": e} for s, e in runs]) for r, runs in zip(rows, marked([r[3] for r in rows], [r[2] for r in rows], length), strict=True) if runs]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))]
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[k]) for k in range(3)], ["seed", "ctx", "runs"])
+            # All windows of a context hold its seed, so what they cover is one run.
+            runs = marked([r[3] for r in rows], [r[2] for r in rows], length)
+            found = [(r[0], r[1], own[0][0], own[-1][1]) for r, own in zip(rows, runs, strict=True) if own]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[k]) for k in range(4)], ["seed", "ctx", "s", "e"])
 
         for batch in batches:
             for row in zip(*(A.column(batch, c).to_pylist() for c in ("seed", "ctx", "before", "bytes")), strict=True):
@@ -261,8 +263,22 @@ def mark_windows(contexts: DataFrame, length: int) -> DataFrame:
 
     windows = written(contexts.mapInArrow(run, "seed bigint, ctx bigint, at int, place int, h bigint"), "windows")
     twice = written(windows.groupBy("seed", "place", "h").count().where("count > 1").drop("count"), "twice")
-    return windows.join(twice, ["seed", "place", "h"]).groupBy("seed", "ctx").agg(
-        F.sort_array(F.collect_set(F.struct(F.col("at").alias("s"), (F.col("at") + length).alias("e")))).alias("runs"))
+    return windows.join(twice, ["seed", "place", "h"]).groupBy("seed", "ctx").agg(F.min("at").alias("s"), (F.max("at") + length).alias("e"))
+
+
+def with_partners(contexts: DataFrame, length: int, k: int) -> DataFrame:
+    """Contexts (seed, ctx, n, before, bytes) that may share a window: a window reaches far enough beyond the seed
+    on one side at least, so two that share one agree there. Others are dropped, before the index."""
+    reach = (length - k + 1) // 2
+    n = F.octet_length("bytes")
+    right = F.when(n - F.col("before") >= k + reach, F.xxhash64(F.substring("bytes", F.col("before") + 1, F.lit(k + reach))))
+    left = F.when(F.col("before") >= reach, F.xxhash64(F.substring("bytes", F.col("before") - reach + 1, F.lit(reach + k))))
+    rows = written(contexts.withColumns({"right": right, "left": left}), "sides")
+    both = rows.select("seed", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("right").alias("h")), F.struct(F.lit(1).alias("side"), F.col("left").alias("h")))).alias("x")).select("seed", "x.*").where("h IS NOT NULL")
+    twice = written(both.groupBy("seed", "side", "h").count().where("count > 1").drop("count"), "agreed")
+    keys = rows.select("seed", "ctx", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("right").alias("h")), F.struct(F.lit(1).alias("side"), F.col("left").alias("h")))).alias("x")).select("seed", "ctx", "x.*")
+    kept = keys.join(twice, ["seed", "side", "h"], "left_semi").select("seed", "ctx").distinct()
+    return rows.drop("right", "left").join(kept, ["seed", "ctx"], "left_semi")
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataFrame:
@@ -271,24 +287,25 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataF
     found = written(seeds(docs, length, k), "seeds")
     twice = written(found.groupBy("seed").count().where("count > 1").select("seed"), "twice")
     at = written(found.join(twice, "seed"), "occurrences")
+    discard(found, twice)
     ctx = written(
         at.groupBy("seed", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("key", "pos", "before", "size")).alias("at")), "contexts")
-    several = written(ctx.groupBy("seed").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1"), "several")
-    open_ = ctx.join(several, "seed").select("seed", "ctx", "contexts", "n", "at.*")
+    several = ctx.groupBy("seed").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1")
+    open_ = ctx.join(written(several.select("seed"), "several"), "seed").select("seed", "ctx", "n", "at.*")
     texts = docs.select("key", "text").dropDuplicates(["key"])
-    bytes_ = written(
-        open_.join(texts, "key").select(
-            "seed", "ctx", "contexts", "before", F.substring(F.col("text").cast("binary"), F.col("pos") - F.col("before") + 1, F.col("size").cast("int")).alias("bytes")),
-        "bytes",
-    )
+    raw = F.substring(F.col("text").cast("binary"), F.col("pos") - F.col("before") + 1, F.col("size").cast("int"))
+    bytes_ = with_partners(open_.join(texts, "key").select("seed", "ctx", "n", F.col("before").cast("int").alias("before"), raw.alias("bytes")), length, k)
+    bytes_ = written(bytes_, "partners")
+    sizes = written(bytes_.groupBy("seed").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1").drop("least"), "sizes")
+    bytes_ = bytes_.join(sizes, "seed").drop("n")
     marks = mark_blocks(bytes_.where(F.col("contexts") <= MOST_CONTEXTS).drop("contexts"), length)
-    many = bytes_.where(F.col("contexts") > MOST_CONTEXTS).drop("contexts")
-    if many.limit(1).count():
-        marks = marks.unionByName(mark_windows(many, length))
-    whole = ctx.where("n > 1").select("seed", "ctx", F.array(F.struct(F.lit(0).alias("s"), F.col("at.size").cast("int").alias("e"))).alias("runs"))
-    marks = written(whole.unionByName(marks), "marks")
-    spots = at.join(marks, ["seed", "ctx"]).select("key", F.explode("runs").alias("r"), (F.col("pos") - F.col("before")).alias("o"))
-    return spots.select("key", F.struct((F.col("o") + F.col("r.s")).alias("s"), (F.col("o") + F.col("r.e")).alias("e")).alias("run")).groupBy("key").agg(F.collect_set("run").alias("runs"))
+    if sizes.where(F.col("contexts") > MOST_CONTEXTS).limit(1).count():
+        marks = marks.unionByName(mark_windows(bytes_.where(F.col("contexts") > MOST_CONTEXTS).drop("contexts"), length))
+    single = ctx.where("n = 1").select("seed", "ctx")
+    whole = ctx.where("n > 1").select("seed", "ctx", F.lit(0).alias("s"), F.col("at.size").cast("int").alias("e"))
+    marks = written(whole.unionByName(marks.join(single, ["seed", "ctx"], "left_semi")), "marks")
+    run = F.struct((F.col("pos") - F.col("before") + F.col("s")).alias("s"), (F.col("pos") - F.col("before") + F.col("e")).alias("e"))
+    return at.join(marks, ["seed", "ctx"]).select("key", run.alias("run")).groupBy("key").agg(F.collect_set("run").alias("runs"))
 
 
 def _united(runs: list | None) -> list[tuple[int, int]]:
@@ -304,10 +321,10 @@ def _united(runs: list | None) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, whole_characters: bool = False) -> DataFrame:
     """docs with `kept` (the bytes that stay), `removed` (runs of bytes as arrays [from, to]) and n_bytes.
     With whole_characters, a character that a run covers in part stays."""
-    keyed = docs.withColumn("key", F.xxhash64(F.col("doc_id"), F.col("text")))
-    runs = repeated_runs(keyed.select("key", "text"), length, k)
-    names = [c for c in docs.columns if c not in ("kept", "removed", "n_bytes")]
-    joined = keyed.select("key", *names).join(runs, "key", "left").drop("key")
+    names = [c for c in docs.columns if c not in ("kept", "removed", "n_bytes", "runs")]
+    own = F.xxhash64(F.col("doc_id"), F.col("text"))
+    runs = repeated_runs(docs.select(own.alias("key"), "text"), length, k).withColumnRenamed("key", "runs_of")
+    joined = docs.select(*names).join(runs, own == F.col("runs_of"), "left").drop("runs_of")
     schema = joined.drop("runs").schema.add("kept", "binary").add("removed", T.ArrayType(T.ArrayType(T.IntegerType()))).add("n_bytes", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
