@@ -8,10 +8,10 @@ Exact at every size, in five steps:
 2. Seeds that occur once end here. A context that occurs twice is marked whole.
 3. Of seeds with several contexts, one copy of each distinct context is fetched and indexed with the
    others in bounded blocks. A block's index is a run-length Burrows-Wheeler transform of the aligned
-   contexts: suffixes sorted by (place, following bytes); only where the run of a preceding byte
-   starts or ends is the match with the neighbour measured. Streaming over the text, a match is at
-   least the match one byte before, less one; that gives each window's longest match, and long ones
-   are marked. A seed with too many contexts for a block goes by hashes of its windows instead,
+   contexts: suffixes sorted by (place, following bytes), each place's order from the next one's; only
+   where a run of preceding bytes ends is the match with the neighbour measured. Streaming over the
+   text, a match is at least the match one byte before, less one; that gives each window's longest
+   match, and long ones are marked. A seed with too many contexts for a block goes by hashes of its windows instead,
    grouped by Spark.
 4. Marks go back to all occurrences and are united per document.
 5. Bytes marked are cut out.
@@ -40,7 +40,7 @@ from lectern.llm.shared import discard, written
 
 LENGTH, GRAM = 200, 64
 PIECE = 1 << 20
-BLOCK_BYTES, MOST_CONTEXTS = 1 << 20, 4096
+BLOCK_BYTES, MOST_CONTEXTS = 2 << 20, 4096
 INVERSE = pow(A.MULTIPLIER, -1, 1 << 64)
 
 
@@ -134,77 +134,93 @@ def seeds(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 
 class RunLengthIndex:
-    """The index of a block of aligned contexts: text, their places, and the runs of the transform."""
-
-    def __init__(self, text: np.ndarray, place: np.ndarray):
-        """text: contexts one after another; place: of each byte, relative to the seed. A context begins
-        where place doesn't follow on."""
-        n = len(text)
-        self.text, self.place = text, place
-        cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1] + 1, [True]]))
-        self.owner = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-        self.left = np.repeat(cut[1:], np.diff(cut)) - np.arange(n)  # bytes to the context's end
-        # Names in order of place, then of the next 7 bytes (a context's end before all), then of twice as many.
-        padded = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
-        word = np.zeros(n, np.uint64)
-        for j in range(7):
-            word = (word << np.uint64(9)) | np.where(self.left > j, padded[j : j + n], np.uint64(0))
-        size = 7
-        name = self._named((place - place.min()).astype(np.int64), np.unique(word, return_inverse=True)[1])
-        while size < int(self.left.max()):
-            after = np.concatenate([name[size:], np.zeros(min(size, n), name.dtype)])[:n] + 1
-            name = self._named(name, np.where(self.left > size, after, 0))
-            size *= 2
-        self.order = np.argsort(name, kind="stable")
-        before = np.where(np.concatenate([[True], self.owner[1:] != self.owner[:-1]]), 256, np.concatenate([[0], text[:-1]]))
-        self.transform = before[self.order].astype(np.int16)
-        self.heads = np.flatnonzero(np.concatenate([[True], (self.transform[1:] != self.transform[:-1]) | (self.transform[1:] == 256)]))
-
-    @staticmethod
-    def _named(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.unique(a.astype(np.int64) * (int(b.max()) + 1) + b, return_inverse=True)[1]
+    """The index of a block of aligned contexts: place by place from the right, the order of the suffixes that
+    start there (from the order one place on, by a stable sort on one byte), and the ends of the runs of
+    preceding bytes in it. Only places where a window of `length` bytes can start are measured."""
+
+    #: Pairs measured at a time.
+    PAIRS = 1 << 18
+
+    def __init__(self, contexts: list[bytes], before: list[int], length: int):
+        """before: bytes of each context in front of the place that all are aligned at."""
+        self.sizes, self.before, self.length = np.array([len(c) for c in contexts]), np.array(before), length
+        self.text = np.frombuffer(b"".join(contexts) + bytes(8), np.uint8)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.lead = int(self.before.max())
+        width = self.lead + int((self.sizes - self.before).max())
+        self.measured = max(0, width - length + 1)
+        row = np.repeat(np.arange(len(contexts)), self.sizes)
+        column = np.arange(len(row)) - np.repeat(self.starts + self.before, self.sizes) + self.lead
+        self.columns = np.zeros((width, len(contexts)), np.uint16)
+        self.columns[column, row] = self.text[:-8] + np.uint16(1)  # 0: outside of the context
+
+    def run_ends(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(column, contexts, contexts next to them in the order) where a run of preceding bytes ends."""
+        order = np.arange(len(self.sizes))
+        for c in range(len(self.columns) - 1, -1, -1):
+            own = self.columns[c][order]
+            by = np.argsort(own, kind="stable")
+            order = order[by]
+            if c < self.measured:
+                inside = order[np.searchsorted(own[by], 1) :]
+                preceding = self.columns[c - 1][inside] if c else np.zeros(len(inside), np.uint16)
+                ends = np.flatnonzero((preceding[1:] != preceding[:-1]) | (preceding[1:] == 0))
+                if len(ends):
+                    yield c, inside[ends], inside[ends + 1]
 
     def matches(self) -> np.ndarray:
-        """The longest match of each suffix with its neighbours in the order, measured at run
-        heads and run ends only and streamed over the text."""
-        out = np.zeros(len(self.text), np.int64)
-        own = self.order[self.heads]
-        ends = np.concatenate([self.heads[1:], [len(self.order)]]) - 1
-        spots = [(own[1:], self.order[self.heads[1:] - 1]), (self.order[ends[:-1]], self.order[ends[:-1] + 1])]
-        for mine, other in spots:
-            np.maximum.at(out, mine, self._common(mine, other))
-        at = np.arange(len(out))
-        # Less one a byte, within a context: contexts are told apart by a base that no match bridges.
-        base = self.owner.astype(np.int64) * (2 * len(out) + 1)
-        return np.maximum.accumulate(out + at + base) - at - base
-
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        most = np.minimum(self.left[a], self.left[b])
-        most = np.where(self.place[a] == self.place[b], most, 0)
-        done = np.zeros(len(a), np.int64)
-        live = np.flatnonzero(most > 0)
+        """The longest match of each context's suffix at each measured column with its neighbours in the
+        order, measured at run ends only and streamed over the text: less one a byte."""
+        out = np.zeros((len(self.sizes), self.measured), np.int32)
+        flat, held, parts = out.reshape(-1), 0, []
+
+        def measure() -> None:
+            c, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+            common = self._common(c, a, b)
+            for own in (a, b):
+                np.maximum.at(flat, own * self.measured + c, common)
+
+        for c, a, b in self.run_ends():
+            parts.append((np.full(len(a), c), a, b))
+            held += len(a)
+            if held >= self.PAIRS:
+                measure()
+                held, parts = 0, []
+        if parts:
+            measure()
+        at = np.arange(self.measured, dtype=np.int32)
+        return np.maximum.accumulate(out + at, axis=1) - at
+
+    def _common(self, c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bytes contexts a and b have in common from column c on."""
+        x, y = ((self.starts + self.before)[r] + c - self.lead for r in (a, b))
+        most = np.minimum((self.starts + self.sizes)[a] - x, (self.starts + self.sizes)[b] - y)
+        eight = np.lib.stride_tricks.sliding_window_view(self.text, 8)
+        done, live = np.zeros(len(a), np.int64), np.arange(len(a))
         while len(live):
             at = done[live]
-            same = self.text[a[live] + at] == self.text[b[live] + at]
-            live = live[same]
-            done[live] += 1
-            live = live[done[live] < most[live]]
-        return done
+            differ = eight[x[live] + at] != eight[y[live] + at]
+            some = differ.any(axis=1)
+            done[live] += np.where(some, differ.argmax(axis=1), 8)
+            live = live[~some & (done[live] < most[live])]
+        return np.minimum(done, most).astype(np.int32)
+
+    def covered(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per context the first and the last column at which a window starts that another context has at the
+        same place; -1 for none."""
+        long = self.matches() >= self.length
+        some = long.any(axis=1) if self.measured else np.zeros(len(self.sizes), bool)
+        if not some.any():
+            return np.full(len(some), -1), np.full(len(some), -1)
+        return np.where(some, long.argmax(axis=1), -1), np.where(some, self.measured - 1 - long[:, ::-1].argmax(axis=1), -1)
 
 
 def marked(contexts: list[bytes], before: list[int], length: int) -> list[list[tuple[int, int]]]:
     """Per context, the runs of bytes (from its start) covered by windows that another context has at the
     same place."""
-    sizes = np.array([len(c) for c in contexts])
-    text = np.frombuffer(b"".join(contexts), np.uint8)
-    starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(text)) - np.repeat(starts + np.array(before), sizes)
-    index = RunLengthIndex(text, place)
-    long = index.matches() >= length
-    out = []
-    for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-        out.append(_runs(np.flatnonzero(long[s : s + n]), length))
-    return out
+    index = RunLengthIndex(contexts, before, length)
+    shift = index.before - index.lead
+    return [_runs(np.flatnonzero(m >= length) + s, length) for m, s in zip(index.matches(), shift, strict=True)]
 
 
 def _runs(windows: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -229,8 +245,10 @@ def mark_blocks(contexts: DataFrame, length: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             # All windows of a context hold its seed, so what they cover is one run.
-            runs = marked([r[3] for r in rows], [r[2] for r in rows], length)
-            found = [(r[0], r[1], own[0][0], own[-1][1]) for r, own in zip(rows, runs, strict=True) if own]
+            index = RunLengthIndex([r[3] for r in rows], [r[2] for r in rows], length)
+            first, last = index.covered()
+            shift = index.before - index.lead
+            found = [(rows[i][0], rows[i][1], int(first[i] + shift[i]), int(last[i] + shift[i]) + length) for i in np.flatnonzero(first >= 0)]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[k]) for k in range(4)], ["seed", "ctx", "s", "e"])
 
