@@ -40,7 +40,7 @@ from lectern.llm.shared import discard, written
 
 LENGTH, GRAM = 200, 64
 PIECE = 1 << 20
-BLOCK_BYTES, MOST_CONTEXTS = 2 << 20, 4096
+BLOCK_BYTES, MOST_CONTEXTS = 2 << 20, 16384
 INVERSE = pow(A.MULTIPLIER, -1, 1 << 64)
 
 
