@@ -9,7 +9,9 @@ re-parameterised copy, so texts that share only a form don't count. Chains that
 cover enough of the item's windows are a leak (several chains: words were put in or left out).
 
 A name is a capitalised word inside a sentence (not its first word). A number is a run of digits with
-inner punctuation; a unit is a word of UNITS after a number.
+inner punctuation; a unit is a word of UNITS after a number. What counts as a name hangs on case and on the
+word before, so each window is posted under two hashes, of its template and of its plain case-folded words
+(one where it has no slots); either brings a pair, so copies in another case or after a heading are found.
 
 Before the join a fixed-size bit map of the benchmark's windows (2**22 bits; it only saves work, as the
 join decides) drops document windows that no item has, so of the documents only near-hits are
@@ -24,6 +26,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -36,105 +39,105 @@ from lectern.llm import arrow_text as A
 from lectern.llm.shared import written
 
 BITS = 22
-TOKEN = re.compile(r"\S+")
 NUMBER = re.compile(r"[+-]?\d[\d.,:/]*%?")
 #: Words that are units after a number.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hours days weeks years usd eur dollars euros cents percent".split())
 EDGE = " \t\n\r.,;:!?\"'()[]{}<>*#$%&|_-–—…«»„“”"
 
 
-def template(text: str | None) -> tuple[list[str], list[str | None]]:
-    """(template tokens, value of each token's slot or None)."""
-    tokens, slots = [], []
-    start, number = True, False
-    for raw in TOKEN.findall(text or ""):
-        word = raw.strip(EDGE)
-        if not word:
-            continue
-        low = word.lower()
-        if NUMBER.fullmatch(word):
-            tokens.append("\x01n")
-            slots.append(low)
-            number = True
-        elif number and low in UNITS:
-            tokens.append("\x01u")
-            slots.append(low)
-            number = False
-        elif not start and word[:1].isupper() and not word.isupper():
-            tokens.append("\x01c")
-            slots.append(low)
-            number = False
-        else:
-            tokens.append(low)
-            slots.append(None)
-            number = False
-        start = raw[-1] in ".!?" or raw[-2:-1] in (".", "!", "?")
-    return tokens, slots
+#: What the kinds of slots put into a template; 0 is no slot.
+PLACEHOLDERS = (None, "\x01n", "\x01u", "\x01c")
+KNOWN = 200_000
 
 
 def _hash(token: str) -> int:
-    h = 0xCBF29CE484222325
-    for b in token.encode():
-        h = ((h ^ b) * 0x100000001B3) & A.M64
-    return h
+    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+IDS = np.array([0, *(_hash(t) for t in PLACEHOLDERS[1:])], np.uint64)
+
+
+def _word(raw: str) -> tuple[str, int, bool, bool, bool, bool]:
+    """(word case-folded, its hash, is a number, may be a unit, may be a name, ends a sentence) of a run without blanks."""
+    word = raw.strip(EDGE)
+    low = word.casefold()
+    ends = raw[-1] in ".!?" or raw[-2:-1] in (".", "!", "?")
+    return low, _hash(low), bool(NUMBER.fullmatch(word)), low in UNITS, word[:1].isupper() and not word.isupper(), ends
+
+
+def parsed(text: str | None, known: dict[str, tuple]) -> tuple[list[str], list[int], list[int]]:
+    """(words case-folded, their hashes, kinds of their slots)."""
+    words, ids, kinds = [], [], []
+    start, number = True, False
+    for raw in (text or "").split():
+        w = known.get(raw)
+        if w is None:
+            if len(known) > KNOWN:
+                known.clear()
+            w = known[raw] = _word(raw)
+        low, h, digits, unit, name, ends = w
+        if not low:
+            continue
+        kind = 1 if digits else 2 if number and unit else 3 if name and not start else 0
+        words.append(low)
+        ids.append(h)
+        kinds.append(kind)
+        number = digits
+        start = ends
+    return words, ids, kinds
 
 
-def window_hashes(tokens: list[str], n: int, known: dict[str, int]) -> np.ndarray:
+def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of n tokens, in order; of all tokens if there are fewer."""
-    if not tokens:
+    if not len(ids):
         return np.empty(0, np.uint64)
-    ids = np.empty(len(tokens), np.uint64)
-    for i, t in enumerate(tokens):
-        h = known.get(t)
-        if h is None:
-            if len(known) > 200_000:
-                known.clear()
-            h = known[t] = _hash(t)
-        ids[i] = h
-    size = min(n, len(tokens))
+    size = min(n, len(ids))
     with np.errstate(over="ignore"):
-        out = np.full(len(tokens) - size + 1, size, np.uint64)
+        out = np.full(len(ids) - size + 1, size, np.uint64)
         factor = 1
         for k in range(size):
             factor = factor * A.MULTIPLIER & A.M64
-            out += ids[k : len(tokens) - size + 1 + k] * np.uint64(factor)
+            out += ids[k : len(ids) - size + 1 + k] * np.uint64(factor)
     return A.mix(out)
 
 
-def _slots(values: list[str | None], at: int, n: int) -> list[str]:
-    return [v if v is not None else "" for v in values[at : at + n]]
-
-
-WINDOWS = "id bigint, pos int, h bigint, n_windows int, slots array<string>"
+WINDOWS = "id bigint, pos int, h bigint, n_windows int, words array<string>, slots array<boolean>"
 
 
 def windows(rows: DataFrame, n: int, sizes: list[int], bitmap: np.ndarray | None = None) -> DataFrame:
-    """Rows (id, pos, h, n_windows, slots) of the windows of rows (id, text): of n tokens, and of the
-    smaller sizes given; with a bit map, of those it has."""
+    """Rows (id, pos, h, n_windows, words, slots) of the windows of rows (id, text): of n tokens, and of the
+    smaller sizes given; with a bit map, of those it has. Windows with slots have two rows, h of the template
+    and h of the plain words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+        known: dict[str, tuple] = {}
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.bool_())]
         for batch in A.slices(batches, "text"):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(A.column(batch, "id").to_pylist(), A.column(batch, "text").to_pylist(), strict=True):
-                tokens, values = template(text)
+                words, ids, kinds = parsed(text, known)
+                plain, kind = np.array(ids, np.uint64), np.array(kinds, np.int8)
+                forms = (plain, np.where(kind > 0, IDS[kind], plain)) if kind.any() else (plain,)
                 for size in [n, *sizes]:
-                    if size != n and len(tokens) < size:
+                    if size != n and len(words) < size:
                         continue
-                    h = window_hashes(tokens, size, known)
-                    if bitmap is None:
-                        hits = range(len(h))
-                    else:
-                        bit = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                        hits = np.flatnonzero(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).tolist()
-                    for i in hits:
-                        out[0].append(doc)
-                        out[1].append(i)
-                        out[2].append(int(h[i]) - (1 << 64) if h[i] >> np.uint64(63) else int(h[i]))
-                        out[3].append(len(h))
-                        out[4].append(_slots(values, i, min(size, len(tokens))))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["id", "pos", "h", "n_windows", "slots"])
+                    size = min(size, len(words))
+                    before = None
+                    for form in forms:
+                        h = window_hashes(form, size)
+                        take = np.ones(len(h), bool) if before is None else h != before
+                        if bitmap is not None:
+                            bit = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                            take &= (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+                        before = h
+                        for i in np.flatnonzero(take).tolist():
+                            out[0].append(doc)
+                            out[1].append(i)
+                            out[2].append(int(h[i]) - (1 << 64) if h[i] >> np.uint64(63) else int(h[i]))
+                            out[3].append(len(h))
+                            out[4].append(words[i : i + size])
+                            out[5].append([k > 0 for k in kinds[i : i + size]])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, types, strict=True)], ["id", "pos", "h", "n_windows", "words", "slots"])
 
     return rows.mapInArrow(run, WINDOWS)
 
@@ -153,12 +156,14 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 5, cover: float = 0.5) ->
     posted = written(windows(items.where("item_id is not null").select(F.col("item_id").alias("id"), "text"), n, []), "items")
     short = [r[0] for r in posted.where(F.size("slots") < n).select(F.size("slots")).distinct().collect()]
     own = windows(docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"), n, sorted(short), _bitmap(posted))
-    pairs = own.select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "h", F.col("slots").alias("said")).join(
-        posted.select(F.col("id").alias("item_id"), "pos", "h", "n_windows", "slots"), "h"
-    ).where(F.size("said") == F.size("slots"))
+    pairs = own.select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "h", F.col("words").alias("said")).join(
+        posted.select(F.col("id").alias("item_id"), "pos", "h", "n_windows", "words", "slots"), "h"
+    ).where(F.size("said") == F.size("words"))
+    # The item's slots with the document's words in their places: where the plain words match, the same words.
+    slots = F.filter(F.arrays_zip(F.col("words").alias("x"), F.col("said").alias("y"), F.col("slots").alias("slot")), lambda s: s["slot"])
     pairs = pairs.select(
         "doc_id", "item_id", (F.col("at") - F.col("pos")).alias("diagonal"), "pos", "n_windows",
-        F.filter(F.arrays_zip(F.col("slots").alias("x"), F.col("said").alias("y")), lambda s: s["x"] != "").alias("slots"),
+        F.transform(slots, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"))).alias("slots"),
     )
     # A chain's slots agree if equal values of the item are equal in the document, and the reverse.
     chains = pairs.groupBy("doc_id", "item_id", "diagonal").agg(
