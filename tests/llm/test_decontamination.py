@@ -26,3 +26,22 @@ def test_short_items_anywhere(spark):
     got = found(spark, docs, [short])
     assert {d for d, _ in got} == {0, 1, 2, 3, 4}
     assert [got[d, 0][2] for d in range(5)] == [False, False, False, False, True]
+
+
+def test_two_parameters_fall_on_one_value(spark):
+    item = "she has 3 apples and 7 pears in a bag and gives them all to the man at the door"
+    got = found(spark, [item.replace("3", "5").replace("7", "5")], [item, "of 3 and 7"])
+    assert got == {(0, 0): (16, 16, True)}
+
+
+def test_unrelated_parameters_of_one_value(spark):
+    item = "he bought 3 ripe red apples from the old market stall near the town hall for only 3 dollars and then walked home very happy"
+    doc = item.replace("3 ripe", "4 ripe").replace("3 dollars", "5 dollars")
+    assert found(spark, [doc], [item]) == {(0, 0): (16, 21, True)}
+    assert found(spark, ["4 apples at 5 dollars"], ["3 apples at 3 dollars"]) == {}
+
+
+def test_a_name_misspelt_once(spark):
+    item = "then the river Avon carried sand past the town and the river Avon carried clay and the old Avon went by"
+    got = found(spark, [item.replace("town and the river Avon", "town and the river Avno")], [item])
+    assert got == {(0, 0): (12, 17, False)}
