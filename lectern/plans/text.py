@@ -78,6 +78,11 @@ def sanitised_query(spark, d):
     return _docs(spark, d).select("doc_id", X.sanitised(F.substring("text", 1, 200)).alias("q"))
 
 
+@query("sanitised_text", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}''-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS q FROM documents")
+def sanitised_text(spark, d):
+    return _docs(spark, d).select("doc_id", X.sanitised(F.col("text")).alias("q"))
+
+
 @query("learned_lookup", with_("books") + """, l AS (SELECT book_id AS id, concat('  ', upper(title), ' ') AS title, book_id % 3 AS author, concat('B', CAST(book_id AS VARCHAR)) AS asin FROM books WHERE book_id % 2 = 0),
 k AS (SELECT trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS title, author, arg_max(asin, id) AS asin FROM l GROUP BY 1, 2)
 SELECT b.book_id, k.asin FROM books b JOIN k ON k.title = trim(regexp_replace(lower(b.title), '\\s+', ' ', 'g')) AND k.author = b.book_id % 3""")
@@ -100,8 +105,7 @@ def typo_correction(spark, d):
 
 @query("stated_names")
 def stated_names(spark, d):
-    said = F.concat(F.lit("This is "), F.substring("text", 1, 20), F.lit(", written by Ann Lee. Narrated by Bo Ek."))
-    return _docs(spark, d).select("doc_id", F.explode(X.stated_names(said)).alias("n")).select("doc_id", "n.*")
+    return _docs(spark, d).select("doc_id", F.explode(X.stated_names(F.col("text"))).alias("n")).select("doc_id", "n.*")
 
 
 @query("page_text")
@@ -135,6 +139,11 @@ def split_values(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(N.split_values(F.substring("text", 1, 300)), "#").alias("parts"))
 
 
+@query("split_text", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '[;/,|]'), lambda x: trim(x)), lambda x: x <> ''), '#') AS parts FROM documents")
+def split_text(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(N.split_values(F.col("text")), "#").alias("parts"))
+
+
 @query("clamped_tags", "SELECT p_partkey, array_to_string(list_distinct_ordered, ',') AS tags FROM (SELECT p_partkey, list_filter([t1, CASE WHEN t2 <> t1 THEN t2 ELSE '' END], lambda x: x <> '') AS list_distinct_ordered FROM (SELECT p_partkey, lower(split_part(p_name, ' ', 1)) AS t1, lower(split_part(p_name, ' ', 2)) AS t2 FROM part))")
 def clamped_tags(spark, d):
     tags = F.split("p_name", " ")
