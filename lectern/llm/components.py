@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.shared import delete_path, new_path, written
+from lectern.llm.shared import delete_path, discard, new_path, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     (a partial min), and the join's sides are both shuffled, so AQE can split one with many links.
     """
     spark = links.sparkSession
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
     start = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label"))
     path = new_path(spark, "labels")
     start.write.parquet(path)
@@ -34,4 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         delete_path(spark, path)
         path = to
         if not moved:
-            return spark.read.schema(schema).parquet(path)
+            discard(both)
+            out = spark.read.schema(schema).parquet(path)
+            out.written_to = path
+            return out

@@ -9,7 +9,9 @@ misses every band with a probability of 5e-7, a closer one with far less.
 2. Representatives that share a band are candidates. In each bucket all members are paired with three
    centres (the smallest id, and of two halves of the ids the one that shares most buckets, as the
    least changed of a group of copies does), not with each other.
-3. Candidates are confirmed on the full shingle sets, and links give components.
+3. Candidates are confirmed on the full shingle sets in two rounds: first of each document the one centre with
+   which it shares most buckets, then those whose ends are in different components still. A later round's links are
+   between components, one for each pair, so links stay near one a document however large a group is.
 4. Where a bucket's members are still in several components, those outside its largest one are compared,
    on full sets and block by block, with all of that component and with each other. So no pair that
    shares a bucket and could join two components goes unchecked, and no pairs but links are emitted.
@@ -18,8 +20,9 @@ Scale: texts are shuffled once, to keep those of candidates; hot classes, bucket
 pre-aggregated, or joined where both sides are shuffled, so that AQE can split them.
 
 Defined cases: null or empty texts and texts of white space have an empty set and link with nothing;
-null ids are left out of links and keep a null component; a repeated id counts once per row in the
-result and links as one; other columns are ignored; an empty table gives no rows.
+null ids are left out of links and have a null component; a repeated id is one document with the sets of all its
+rows (what is linked with one of them is linked with it), each row of it has its own size; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -97,7 +100,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     both = (
         pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .select("a", "b", "text_a", "text_b")
+        .select("a", "b", "text_a", "text_b", F.xxhash64("a", "text_a").alias("own_a"), F.xxhash64("b", "text_b").alias("own_b"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +108,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
             known: dict = {}
 
             def sets(name: str, batch=batch, known=known) -> list[np.ndarray]:
-                ids, text = A.column(batch, name).to_pylist(), A.column(batch, f"text_{name}")
+                ids, text = A.column(batch, f"own_{name}").to_pylist(), A.column(batch, f"text_{name}")
                 first: dict = {}
                 for i, k in enumerate(ids):
                     if k not in known and k not in first:
@@ -131,10 +134,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def confirm_families(apart: DataFrame, every: DataFrame, texts: DataFrame, words: int, percent: int, block: int = 512) -> DataFrame:
+def confirm_families(apart: DataFrame, every: DataFrame, texts: DataFrame, words: int, percent: int, block: int = 512, spanning: bool = False) -> DataFrame:
     """Links (a, b) across components, between the documents of apart (family, doc_id) and all of their family:
     the component `family` of every (doc_id, label) and the other documents apart. Both sides are dealt into blocks of
-    about `block` documents, and each pair of blocks is compared in a task that gives only links."""
+    about `block` documents, and each pair of blocks is compared in a task that gives only links; with spanning, links
+    of labels in place of documents, one for each pair of labels in a pair of blocks."""
     inside = every.join(apart.select("family").distinct(), F.col("label") == F.col("family")).select("family", "doc_id")
     whole = written(apart.withColumn("apart", F.lit(True)).unionByName(inside.withColumn("apart", F.lit(False))), "families")
     parts = whole.groupBy("family").agg(
@@ -165,6 +169,13 @@ def confirm_families(apart: DataFrame, every: DataFrame, texts: DataFrame, words
             dense[owner[a:b], token[a:b] - start] = 1
             common += dense[x] @ dense[y].T
         near = 100 * common >= percent * (n[x][:, None] + n[y][None] - common)
+        if spanning:
+            known, own = np.unique(np.array(labels, np.int64), return_inverse=True)
+            met = np.unique((own[x][:, None] * len(known) + own[y][None])[near])
+            for p, q in zip(known[met // len(known)].tolist(), known[met % len(known)].tolist(), strict=True):
+                if p != q:
+                    yield min(p, q), max(p, q)
+            return
         for r, c in zip(*np.nonzero(near), strict=True):
             p, q = ids[x[r]], ids[y[c]]
             if labels[x[r]] != labels[y[c]]:
@@ -194,6 +205,48 @@ def confirm_families(apart: DataFrame, every: DataFrame, texts: DataFrame, words
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def candidates(shared: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, centre, bands) of shared (band, doc_id, n, size): each member of a bucket with the bucket's
+    centres, where sizes allow a link; bands: in how many buckets. common: (doc_id, common), buckets shared in all."""
+    ranked = shared.join(common, "doc_id")
+    best = F.struct("common", "doc_id", "n")
+    even = F.xxhash64("doc_id") % 2 == 0
+    centres = written(
+        ranked.groupBy("band").agg(
+            F.min(F.struct("doc_id", "n")).alias("c1"), F.max(F.when(even, best)).alias("c2"), F.max(F.when(~even, best)).alias("c3")
+        ).select("band", F.array_distinct(F.array_compact(F.array("c1", F.when(F.col("c2").isNotNull(), F.struct("c2.doc_id", "c2.n")), F.when(F.col("c3").isNotNull(), F.struct("c3.doc_id", "c3.n"))))).alias("centres")),
+        "centres",
+    )
+    pairs = shared.join(centres, "band").select("doc_id", "n", F.explode("centres").alias("c")).where(
+        f"doc_id <> c.doc_id and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)"
+    ).groupBy("doc_id", F.col("c.doc_id").alias("centre")).agg(F.count("*").alias("bands"))
+    out = written(pairs, "pairs")
+    discard(centres)
+    return out
+
+
+def relabelled(every: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """every (doc_id, label) after links (a, b) between labels."""
+    to = components(links)
+    out = written(every.join(to.select("id", F.col("label").alias("to")), F.col("label") == F.col("id"), "left").select("doc_id", F.coalesce("to", "label").alias("label")), name)
+    discard(to)
+    return out
+
+
+def joined(pairs: DataFrame, every: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(every with the labels that links give, the link tables): of pairs (doc_id, centre, bands), first each document's
+    best one is confirmed, then those that could still join two components."""
+    first = pairs.groupBy("doc_id").agg(F.max(F.struct("bands", (-F.col("centre")).alias("centre"))).alias("best")).select("doc_id", (-F.col("best.centre")).alias("centre"))
+    stars = written(confirm(first.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), texts, words, percent), "links")
+    every = relabelled(every, stars, "labelled")
+    left, right = every.select("doc_id", F.col("label").alias("la")), every.select(F.col("doc_id").alias("centre"), F.col("label").alias("lb"))
+    open_ = pairs.join(left, "doc_id").join(right, "centre").where("la <> lb").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+    met = confirm(open_, texts, words, percent)
+    met = met.join(left.withColumnRenamed("doc_id", "a"), "a").join(right.withColumnRenamed("centre", "b"), "b")
+    bridges = written(met.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), "links")
+    return (relabelled(every, bridges, "labelled") if bridges.limit(1).count() else every), [stars, bridges]
+
+
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable over
     links of at least `percent` per cent similarity), kept (doc_id = component_id)."""
@@ -213,34 +266,28 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, permutat
     sizes = posted.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     shared = written(posted.join(sizes, "band").select("band", "doc_id", "n", "size"), "shared")
     common = written(shared.groupBy("doc_id").agg(F.sum("size").alias("common")), "common")
-    ranked = shared.join(common, "doc_id")
-    best = F.struct("common", "doc_id", "n")
-    even = F.xxhash64("doc_id") % 2 == 0
-    centres = written(
-        ranked.groupBy("band").agg(
-            F.min(F.struct("doc_id", "n")).alias("c1"), F.max(F.when(even, best)).alias("c2"), F.max(F.when(~even, best)).alias("c3")
-        ).select("band", F.array_compact(F.array("c1", F.when(F.col("c2").isNotNull(), F.struct("c2.doc_id", "c2.n")), F.when(F.col("c3").isNotNull(), F.struct("c3.doc_id", "c3.n")))).alias("centres")),
-        "centres",
-    )
     discard(sig, classes)
-    texts = written(docs.join(common.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    pairs = shared.join(centres, "band").select("doc_id", "n", F.explode("centres").alias("c")).where(
-        f"doc_id <> c.doc_id and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)"
-    ).select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b")).distinct()
-    links = written(confirm(pairs, texts, words, percent), "links")
-    label = components(links)
+    texts = written(docs.join(common.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]), "texts")
+    pairs = candidates(shared, common, percent)
+    every, links = joined(pairs, common.select("doc_id", F.col("doc_id").alias("label")), texts, words, percent)
+    discard(pairs, common, *links)
 
-    every = written(common.join(label, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("label", "doc_id").alias("label")), "labelled")
     totals = written(every.groupBy("label").agg(F.count("*").alias("size")), "totals")
     at = shared.select("band", "doc_id").join(every, "doc_id")
     counts = at.join(totals, "label").groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("size", "label")).alias("family"))
     mixed = written(counts.where("low < high").select("band", F.col("family.label").alias("family")), "mixed")
     apart = written(at.join(mixed, "band").where("label <> family").select("family", "doc_id").distinct(), "apart")
-    discard(shared, centres, mixed)
-    found = written(confirm_families(apart, every, texts, words, percent), "links")
-    discard(texts)
+    discard(shared, mixed, totals)
+    found = written(confirm_families(apart, every, texts, words, percent, spanning=True).distinct(), "links")
+    discard(texts, apart)
+    # Rows of one id are one document: what they stand for is linked.
+    several = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id", "low")
+    own = members.join(several, "doc_id").where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
+    label = F.coalesce("label", "rep")
+    ends = own.join(every.select(F.col("doc_id").alias("a"), F.col("label").alias("la")), "a", "left").join(every.select(F.col("doc_id").alias("b"), F.col("label").alias("lb")), "b", "left")
+    own = ends.select(F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    found = written(found.unionByName(own), "links")
+    out = members.join(every.select(F.col("doc_id").alias("id"), "label"), F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", label.alias("at"))
     if found.limit(1).count():
-        label = components(links.unionByName(found))
-    return members.join(label, F.col("rep") == F.col("id"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        out = out.join(components(found), F.col("at") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("label", "at").alias("at"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("at")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

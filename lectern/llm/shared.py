@@ -14,10 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset
-    (tests on one machine) a local folder, which is then set for checkpoints as well."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one machine's
+    session (tests) gets a local folder; on a cluster it is an error, as no such folder is shared there."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
