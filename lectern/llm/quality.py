@@ -9,12 +9,13 @@ The fit uses at most max_train labelled rows (by hash of the id), the documented
 
 Defined cases: null and empty texts have statistics of zero and get those statistics' score; a
 repeated document is scored once per row; of repeated labels the largest counts, null labels none; with
-rows of one class only, or none, the score is that class's rate or 0.5; other columns are ignored; an
-empty table gives no rows.
+rows of one class only, or none, the score is that class's rate or 0.5 (1 then predicted); where equal statistics have
+both labels and no tree splits, it is the rate of label 1; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -31,8 +32,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _counts(text: Column) -> list[Column]:
     t = F.coalesce(text, F.lit(""))
-    words = F.split(F.trim(t), r"\s+")
-    return [t.alias("t"), words.alias("w")]
+    return [t.alias("t"), F.split(F.trim(t), r"\s+").alias("w")]
 
 
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
@@ -44,6 +44,10 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     def share(pattern: str) -> Column:
         return (F.char_length("t") - F.char_length(F.regexp_replace("t", pattern, ""))) / n
 
+    def ascii_share(*characters: str) -> Column:
+        """The same for single ASCII characters, without patterns."""
+        return sum((F.octet_length("t") - F.octet_length(F.replace("t", F.lit(c), F.lit(""))) for c in characters), F.lit(0)) / n
+
     stats = {
         "chars": F.log1p(F.char_length("t").cast("double")),
         "words": F.log1p(F.when(F.col("t") == "", 0.0).otherwise(words)),
@@ -51,11 +55,11 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
         "upper": share(r"\p{Lu}+"),
         "digits": share(r"\p{N}+"),
         "symbols": share(r"[^\p{L}\p{N}\s.,;:'\"-]+"),
-        "stops": share(r"[.?]+"),
-        "commas": share(r",+"),
-        "breaks": share(r"\n+"),
-        "bars": share(r"\|+"),
-        "shouts": share(r"!+"),
+        "stops": ascii_share(".", "?"),
+        "commas": ascii_share(","),
+        "breaks": ascii_share("\n"),
+        "bars": ascii_share("|"),
+        "shouts": ascii_share("!"),
         "distinct": F.size(F.array_distinct("w")) / words,
         "repeats": F.size(F.filter("w", lambda x, i: (i > 0) & (x == F.get("w", i - 1)))) / words,
         "short": F.size(F.filter("w", lambda x: F.char_length(x) <= 3)) / words,
@@ -92,16 +96,26 @@ def _holds(rule: tuple[tuple[str, str, float], ...], stats: str = "s") -> Column
     return out
 
 
+def rate_only(rate: float) -> float:
+    """The constant of a model without rules that scores every text with this rate, of 1e-12 to 1 less it."""
+    rate = min(max(rate, 1e-12), 1 - 1e-12)
+    return math.log(rate / (1 - rate))
+
+
 def fit(rows: DataFrame, trees: int = 20, depth: int = 3, lasso: float = 0.001) -> tuple[float, list[tuple[tuple, float]]]:
-    """(constant, [(rule, weight)]) of rows (s, label); weights of zero are left out."""
+    """(constant, [(rule, weight)]) of rows (s, label), a bounded sample; weights of zero are left out. Without
+    rows of both classes, or where no tree finds a split, there are no rules and the constant gives the rate."""
     names = rows.schema["s"].dataType.names
     seen = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(seen) < 2:
-        p = next(iter(seen), 0.5)
-        return (30.0 if p == 1 else -30.0 if p == 0 else 0.0), []
-    vectors = rows.select("label", array_to_vector(F.array(*[F.col(f"s.{x}") for x in names])).alias("features"), "s").persist()
+        return rate_only(next(iter(seen), 0.5)), []
+    # The sample is small: two partitions keep the optimiser's many passes from being mostly task starts.
+    vectors = rows.coalesce(2).select("label", array_to_vector(F.array(*[F.col(f"s.{x}") for x in names])).alias("features"), "s").persist()
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="onethird", subsamplingRate=0.5).fit(vectors)
     rules = rules_of(forest, names)
+    if not rules:
+        vectors.unpersist()
+        return rate_only(seen[1] / (seen[0] + seen[1])), []
     held = vectors.select("label", array_to_vector(F.array(*[_holds(r).cast("double") for r in rules])).alias("features")).persist()
     model = LogisticRegression(elasticNetParam=1.0, regParam=lasso, standardization=False, maxIter=100).fit(held)
     vectors.unpersist()
