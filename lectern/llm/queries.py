@@ -75,7 +75,7 @@ def op7_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
-    return warc.read_records(index.repartition("archive", F.floor(F.col("offset") / (16 << 20))).sortWithinPartitions("archive", "offset"))
+    return warc.read_records(warc.dealt(index))
 
 
 QUERIES = {

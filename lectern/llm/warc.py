@@ -183,6 +183,14 @@ def read_records(index: DataFrame) -> DataFrame:
     return index.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
+def dealt(index: DataFrame, slice_bytes: int = 4 << 20, partition_bytes: int = 64 << 20) -> DataFrame:
+    """index in partitions by the bytes that its rows point at (the rows themselves are small): slices of an archive in
+    order, and so many partitions that each has about partition_bytes, or one for each core."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    parts = max(-(-total // partition_bytes), min(-(-total // slice_bytes), index.sparkSession.sparkContext.defaultParallelism), 1)
+    return index.repartition(int(parts), "archive", F.floor(F.col("offset") / slice_bytes)).sortWithinPartitions("archive", "offset")
+
+
 def archive(pages: DataFrame, path: str, least: int = 1000) -> DataFrame:
     """Write pages as normalised archives with indexes under `path`; the index of all records."""
     spark = pages.sparkSession
