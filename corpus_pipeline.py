@@ -21,8 +21,12 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs that the toxicity operator predicts to be ordinary; rows with a null id stay."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    """docs that the toxicity operator predicts to be ordinary; rows with a null id stay, and so do all rows where
+    no model can be fitted (no learnable labels, or of one class only), as then nothing tells documents apart."""
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
+    if not isinstance(model, toxicity.Model):
+        return docs
+    scored = toxicity.scored(docs, model)
     return docs.join(scored.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
