@@ -6,9 +6,8 @@ and 1; the n-grams found score in its place. A text's language has the largest s
 share of that language after a softmax over the sums (of 30 words at most, so that longer texts don't
 all score 1).
 
-The tables are learned from a bounded sample: per language max_docs texts (by hash of the id),
-max_words words seen twice or more and n-grams of max_types word types. They are the only data sent to
-tasks; every whole text is scored without a shuffle.
+The tables hold all words of a bounded sample, MAX_DOCS texts a language (by hash of the id), and all their n-grams.
+They are the only data sent to tasks; every whole text is scored without a shuffle.
 
 Defined cases: a null text, or one without a letter, gives `und` and 0.0, as does every text where
 nothing could be learned; ties go to the language that sorts first; repeated rows are scored once
@@ -26,9 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import arrow_text as A
-from lectern.llm.shared import written
+from lectern.llm.shared import discard, written
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: The bound of the sample that the tables are learned from: so many texts of each language, about.
+MAX_DOCS = 3000
 ORDERS = (4, 3, 2, 1)
 SMOOTH = 0.5
 
@@ -87,26 +88,19 @@ class Model:
         return self.languages[best], float(e[best] / e.sum())
 
 
-def fit(rows: DataFrame, max_docs: int = 3000, max_words: int = 100_000, max_types: int = 40_000) -> Model:
-    """The model of rows (doc_id, text, lang), each of them learnable."""
+def fit(rows: DataFrame, max_docs: int = MAX_DOCS) -> Model:
+    """The model of rows (doc_id, text, lang), each of them learnable: all words of a sample of max_docs texts a language."""
     rows = rows.where("text is not null and lang is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
+    if not languages:
+        return Model([], ([], np.zeros((0, 0))), ([], np.zeros((0, 0))))
     unit = 1 << 20
     part = F.coalesce(*[F.when(F.col("lang") == x, int(unit * min(1.0, max_docs / sizes[x]))) for x in languages], F.lit(0))
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(unit)) < part)
     tokens = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}[\p{L}\p{M}]*)"))).alias("w"))
     counts = written(tokens.groupBy("w", "lang").agg(F.count("*").alias("n")), "words")
-    top = counts.where("n > 1")
-    ranks = [top.where(F.col("lang") == x).orderBy(F.desc("n"), "w").limit(max_words).select("w") for x in languages]
-    kept = None
-    for r in ranks:
-        kept = r if kept is None else kept.unionByName(r)
-    if kept is None:
-        return Model([], ([], np.zeros((0, 0))), ([], np.zeros((0, 0))))
-    words = _table(counts.join(kept.distinct(), "w", "left_semi"), "w", languages)
-    types = counts.groupBy("lang").agg(F.count("*").alias("types"))
-    some = counts.join(F.broadcast(types), "lang").where(F.pmod(F.xxhash64("w"), F.lit(unit)) < F.least(F.lit(1.0), F.lit(max_types) / F.col("types")) * unit)
+    words = _table(counts, "w", languages)
     padded = F.concat(F.lit("\x02"), "w", F.lit("\x03"))
 
     def runs(k: int) -> Column:
@@ -114,8 +108,10 @@ def fit(rows: DataFrame, max_docs: int = 3000, max_words: int = 100_000, max_typ
         return F.transform(places, lambda i: F.substring(padded, i, F.lit(k)))
 
     pieces = F.flatten(F.array(*map(runs, ORDERS)))
-    grams = some.select("lang", "n", F.explode(pieces).alias("g")).groupBy("g", "lang").agg(F.sum("n").alias("n"))
-    return Model(languages, words, _table(grams.where(F.char_length("g") > 0), "g", languages))
+    grams = counts.select("lang", "n", F.explode(pieces).alias("g")).groupBy("g", "lang").agg(F.sum("n").alias("n"))
+    model = Model(languages, words, _table(grams, "g", languages))
+    discard(counts)
+    return model
 
 
 def identify(docs: DataFrame) -> DataFrame:
