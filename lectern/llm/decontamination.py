@@ -10,10 +10,14 @@ place and changes in another throws the whole chain away (an asserted case of th
 with one of two equal numbers changed are lost by it). Chains that together cover enough of the item's
 windows are a leak (several chains: words were put in or left out).
 
-A name is a capitalised word inside a sentence (not its first word). A number is a run of digits with
-inner punctuation; a unit is a word of UNITS after a number. What counts as a name hangs on case and on the
-word before, so each window is posted under two hashes, of its template and of its plain case-folded words
-(one where it has no slots); either brings a pair, so copies in another case or after a heading are found.
+A name is a capitalised word inside a sentence; the first word of one may be a name or not. A number is a run of
+digits with inner punctuation and perhaps a unit's letters behind it; a unit is, after a number, a word of at most three
+letters (of one over another, too) or a spelt-out one of UNITS. What counts as a name hangs on case and on the
+word before, so each window is posted under up to three hashes that differ: of its plain case-folded words, of its
+template, and (whole windows with two plain words at least) of its template with sentences' first words as names; any of
+them brings a pair, so copies in another case, after a heading or with other names at sentence starts are found.
+
+Texts are parsed by columns: split by Arrow, each distinct word looked at once a task, the rest in numpy.
 
 Before the join a fixed-size bit map of the benchmark's windows (2**22 bits; it only saves work, as the
 join decides) drops document windows that no item has, so of the documents only near-hits are
@@ -31,9 +35,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +47,18 @@ from lectern.llm import arrow_text as A
 from lectern.llm.shared import written
 
 BITS = 22
-NUMBER = re.compile(r"[+-]?\d[\d.,:/]*%?")
-#: Words that are units after a number.
-UNITS = frozenset("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hours days weeks years usd eur dollars euros cents percent".split())
+NUMBER = re.compile(r"[+-]?\d[\d.,:/]*(%|[^\W\d_]{1,3}[²³]?)?")
+UNIT = re.compile(r"[^\W\d_]{1,3}[²³]?(/[^\W\d_]{1,4}[²³]?)?")
+#: Spelt-out words that are units after a number, beside those that UNIT matches.
+UNITS = frozenset("hours days weeks years dollars euros cents percent".split())
 EDGE = " \t\n\r.,;:!?\"'()[]{}<>*#$%&|_-–—…«»„“”"
 
 
 #: What the kinds of slots put into a template; 0 is no slot.
 PLACEHOLDERS = (None, "\x01n", "\x01u", "\x01c")
 KNOWN = 200_000
+#: Plain words that a window with sentences' first words as names has at least.
+PLAIN = 2
 
 
 def _hash(token: str) -> int:
@@ -63,39 +72,55 @@ def _word(raw: str) -> tuple[str, int, bool, bool, bool, bool]:
     """(word case-folded, its hash, is a number, may be a unit, may be a name, ends a sentence) of a run without blanks."""
     word = raw.strip(EDGE)
     low = word.casefold()
-    ends = raw[-1] in ".!?" or raw[-2:-1] in (".", "!", "?")
-    return low, _hash(low), bool(NUMBER.fullmatch(word)), low in UNITS, word[:1].isupper() and not word.isupper(), ends
-
-
-def parsed(text: str | None, known: dict[str, tuple]) -> tuple[list[str], list[int], list[int]]:
-    """(words case-folded, their hashes, kinds of their slots)."""
-    words, ids, kinds = [], [], []
-    start, number = True, False
-    for raw in (text or "").split():
+    ends = raw[-1:] in (".", "!", "?") or raw[-2:-1] in (".", "!", "?")
+    unit = low in UNITS or bool(UNIT.fullmatch(low))
+    return low, _hash(low), bool(NUMBER.fullmatch(word)), unit, word[:1].isupper() and not word.isupper(), ends
+
+
+@dataclass
+class Parsed:
+    """The words of a batch of texts: flat arrays, and where each text's words start and how many they are."""
+
+    vocabulary: pa.Array
+    word: np.ndarray
+    ids: np.ndarray
+    kinds: np.ndarray
+    first_names: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+
+
+def parsed(texts: pa.Array, known: dict[str, tuple]) -> Parsed:
+    """kinds: of the words' slots, with sentences' first words as plain words; first_names: where these may be names."""
+    lists = pc.utf8_split_whitespace(texts.fill_null(""))
+    coded = lists.flatten().dictionary_encode()
+    found = []
+    for raw in coded.dictionary.to_pylist():
         w = known.get(raw)
         if w is None:
             if len(known) > KNOWN:
                 known.clear()
             w = known[raw] = _word(raw)
-        low, h, digits, unit, name, ends = w
-        if not low:
-            continue
-        kind = 1 if digits else 2 if number and unit else 3 if name and not start else 0
-        words.append(low)
-        ids.append(h)
-        kinds.append(kind)
-        number = digits
-        start = ends
-    return words, ids, kinds
-
-
-def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the runs of n tokens, in order; of all tokens if there are fewer."""
-    if not len(ids):
-        return np.empty(0, np.uint64)
-    size = min(n, len(ids))
+        found.append(w)
+    low, ids, *flags = zip(*found, strict=True) if found else ((), (), (), (), (), ())
+    real = np.array([bool(x) for x in low], bool)
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    keep = real[code] if len(code) else np.zeros(0, bool)
+    code, text = code[keep], text[keep]
+    digits, unit, name, ends = (np.array(f, bool)[code] for f in flags) if len(code) else (np.zeros(0, bool),) * 4
+    first = np.concatenate([[True], text[1:] != text[:-1]]) if len(text) else np.zeros(0, bool)
+    after_number = np.concatenate([[False], digits[:-1]]) & ~first if len(text) else first
+    start = np.concatenate([[True], ends[:-1]]) | first if len(text) else first
+    kinds = np.where(digits, 1, np.where(after_number & unit, 2, np.where(name & ~start, 3, 0))).astype(np.int8)
+    sizes = np.bincount(text, minlength=len(texts)).astype(np.int64)
+    return Parsed(pa.array(low, pa.string()), code, np.array(ids, np.uint64)[code] if len(code) else np.zeros(0, np.uint64), kinds, name & start & (kinds == 0), np.cumsum(sizes) - sizes, sizes)
+
+
+def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of `size` tokens, in order."""
     with np.errstate(over="ignore"):
-        out = np.full(len(ids) - size + 1, size, np.uint64)
+        out = np.full(max(0, len(ids) - size + 1), size, np.uint64)
         factor = 1
         for k in range(size):
             factor = factor * A.MULTIPLIER & A.M64
@@ -103,43 +128,55 @@ def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return A.mix(out)
 
 
+def forms(p: Parsed, size: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(hashes of all runs of `size` words, whether each is posted, the words' kinds) in each form of a window."""
+    plain = window_hashes(p.ids, size)
+    yield plain, np.ones(len(plain), bool), p.kinds
+    template = window_hashes(np.where(p.kinds > 0, IDS[p.kinds], p.ids), size)
+    yield template, template != plain, p.kinds
+    if size == n and p.first_names.any():
+        kinds = np.where(p.first_names, 3, p.kinds).astype(np.int8)
+        third = window_hashes(np.where(kinds > 0, IDS[kinds], p.ids), size)
+        total = np.concatenate([[0], np.cumsum(kinds == 0)])
+        yield third, (third != template) & (third != plain) & (total[size:] - total[:-size] >= PLAIN), kinds
+
+
 WINDOWS = "id bigint, pos int, h bigint, n_windows int, words array<string>, kinds array<int>"
 
 
-def windows(rows: DataFrame, n: int, sizes: list[int], bitmap: np.ndarray | None = None) -> DataFrame:
+def windows(rows: DataFrame, n: int, sizes: list[int] | None = None, bitmap: np.ndarray | None = None) -> DataFrame:
     """Rows (id, pos, h, n_windows, words, kinds) of the windows of rows (id, text): of n tokens, and of the
-    smaller sizes given; with a bit map, of those it has. Windows with slots have two rows, h of the template
-    and h of the plain words."""
+    smaller sizes given; without sizes, of texts with fewer tokens the one window of all of them. With a bit map, of
+    those that it has. A window has a row for each of its forms that differs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32())]
         for batch in A.slices(batches, "text"):
-            out: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(A.column(batch, "id").to_pylist(), A.column(batch, "text").to_pylist(), strict=True):
-                words, ids, kinds = parsed(text, known)
-                plain, kind = np.array(ids, np.uint64), np.array(kinds, np.int8)
-                forms = (plain, np.where(kind > 0, IDS[kind], plain)) if kind.any() else (plain,)
-                for size in [n, *sizes]:
-                    if size != n and len(words) < size:
+            p = parsed(A.column(batch, "text"), known)
+            docs, text = A.column(batch, "id"), np.repeat(np.arange(batch.num_rows), p.sizes)
+            place = np.arange(len(text)) - p.starts[text]
+            for size in [n, *(range(1, n) if sizes is None else sizes)]:
+                if len(text) < size:
+                    continue
+                own = p.sizes[text]
+                fits = (place + size <= own if size == n or sizes is not None else own == size)[: len(text) - size + 1]
+                if not fits.any():
+                    continue
+                fits &= (place + size <= own)[: len(fits)]
+                for h, posted, kinds in forms(p, size, n):
+                    take = fits & posted
+                    if bitmap is not None:
+                        bit = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                        take &= (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+                    at = np.flatnonzero(take)
+                    if not len(at):
                         continue
-                    size = min(size, len(words))
-                    before = None
-                    for form in forms:
-                        h = window_hashes(form, size)
-                        take = np.ones(len(h), bool) if before is None else h != before
-                        if bitmap is not None:
-                            bit = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                            take &= (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
-                        before = h
-                        for i in np.flatnonzero(take).tolist():
-                            out[0].append(doc)
-                            out[1].append(i)
-                            out[2].append(int(h[i]) - (1 << 64) if h[i] >> np.uint64(63) else int(h[i]))
-                            out[3].append(len(h))
-                            out[4].append(words[i : i + size])
-                            out[5].append(kinds[i : i + size])
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, types, strict=True)], ["id", "pos", "h", "n_windows", "words", "kinds"])
+                    each = (at[:, None] + np.arange(size)).ravel()
+                    ends = pa.array((np.arange(len(at) + 1) * size).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([
+                        docs.take(pa.array(text[at])), pa.array(place[at].astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array((own[at] - size + 1).astype(np.int32)),
+                        pa.ListArray.from_arrays(ends, p.vocabulary.take(pa.array(p.word[each]))), pa.ListArray.from_arrays(ends, pa.array(kinds[each].astype(np.int32))),
+                    ], ["id", "pos", "h", "n_windows", "words", "kinds"])
 
     return rows.mapInArrow(run, WINDOWS)
 
@@ -155,7 +192,7 @@ def _bitmap(items: DataFrame) -> np.ndarray:
 def leaks(docs: DataFrame, items: DataFrame, n: int = 5, cover: float = 0.5) -> DataFrame:
     """(doc_id, item_id, covered, n_windows, reworded) of docs (doc_id, text) that hold at least `cover` of the
     windows of an item (item_id, text) in chains with consistent slots. reworded: a slot's value differs."""
-    posted = written(windows(items.where("item_id is not null").select(F.col("item_id").alias("id"), "text"), n, []), "items")
+    posted = written(windows(items.where("item_id is not null").select(F.col("item_id").alias("id"), "text"), n), "items")
     short = [r[0] for r in posted.where(F.size("words") < n).select(F.size("words")).distinct().collect()]
     own = windows(docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"), n, sorted(short), _bitmap(posted))
     pairs = own.select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "h", F.col("words").alias("said")).join(
