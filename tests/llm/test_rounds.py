@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import minhash, quality, toxicity, warc
+from lectern.llm import minhash, quality, suffix_dedup, toxicity, warc
 from lectern.llm.shared import new_path, written
 
 
@@ -106,3 +106,13 @@ def test_records_are_dealt_by_their_bytes(spark):
     got = warc.read_records(warc.dealt(index, 1 << 10, 4 << 10)).collect()
     assert sorted((r.page_id, r.payload_bytes) for r in got) == sorted((i, len(h)) for i, _, h in rows)
     assert sum(r.record_type == "revisit" for r in got) == 0  # both rows of the largest page_id of a payload are responses
+
+
+def test_repeats_beside_clashing_columns(spark):
+    passage = "".join(chr(97 + (i * i + i // 5) % 26) for i in range(260))
+    names = ["runs", "runs_of", "key", "removed", "kept", "seed", "row"]
+    rows = [(1, "x" * 5 + passage, *"abcdefg"), (2, passage + "tail", *"abcdefg"), (2, passage + "tail", *"abcdefg"), (None, None, *"abcdefg")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = suffix_dedup.remove_repeats(docs)
+    assert out.columns == ["doc_id", "text", "runs", "runs_of", "key", "seed", "row", "kept", "removed", "n_bytes"]
+    assert sorted((r.doc_id or 0, bytes(r.kept), r.runs, r.row) for r in out.collect()) == [(0, b"", "a", "g"), (1, b"xxxxx", "a", "g"), (2, b"", "a", "g"), (2, b"", "a", "g")]
