@@ -1,11 +1,11 @@
 """Registered queries over the driver's tables."""
 
-from lectern.plans import catalog, library, text
+from lectern.plans import catalog, library, media, text
 
 
 def queries():
-    return {**catalog.QUERIES, **library.QUERIES, **text.QUERIES}
+    return {**catalog.QUERIES, **library.QUERIES, **text.QUERIES, **media.QUERIES}
 
 
 def oracle_sql():
-    return {**catalog.ORACLES, **library.ORACLES, **text.ORACLES}
+    return {**catalog.ORACLES, **library.ORACLES, **text.ORACLES, **media.ORACLES}
