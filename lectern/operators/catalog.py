@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.codes import ascii_lower
+
 MOST_ROWS, DEFAULT_ROWS = 500, 100
 
 
@@ -31,9 +33,9 @@ class CatalogueFilter:
 
 
 def like(column: Column, text: str) -> Column:
-    """LIKE %text% in any case; % and _ in the text are wildcards, a backslash is not an escape."""
-    escaped = "%" + text.lower().replace("\\", "\\\\") + "%"
-    return F.lower(column).like(escaped)
+    """LIKE %text% in any ASCII case; % and _ in the text are wildcards, a backslash is not an escape."""
+    low = "".join(c.lower() if c.isascii() else c for c in text)
+    return ascii_lower(column).like("%" + low.replace("\\", "\\\\") + "%")
 
 
 def predicates(f: CatalogueFilter) -> Column:

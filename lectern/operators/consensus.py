@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions.codes import ascii_lower
+
 
 def winners(candidates: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first candidate of each key with a value, in a total order."""
@@ -53,8 +55,8 @@ def resolved(names: DataFrame, known: DataFrame) -> DataFrame:
     """names (row_id, name, external_id) against known (entity_id, alias, external_id): by external id, else by an alias
     that one entity has; `outcome` is external, alias, ambiguous or new."""
     ids = known.where("external_id IS NOT NULL").groupBy("external_id").agg(F.min("entity_id").alias("by_id"))
-    aliases = known.groupBy(F.lower(F.trim("alias")).alias("alias_key")).agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("by_alias"))
-    out = names.join(ids, "external_id", "left").join(aliases, F.lower(F.trim("name")) == F.col("alias_key"), "left")
+    aliases = known.groupBy(ascii_lower(F.trim("alias")).alias("alias_key")).agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("by_alias"))
+    out = names.join(ids, "external_id", "left").join(aliases, ascii_lower(F.trim("name")) == F.col("alias_key"), "left")
     outcome = F.when(F.col("by_id").isNotNull(), "external").when(F.col("n") == 1, "alias").when(F.col("n") > 1, "ambiguous").otherwise("new")
     return out.select("row_id", "name", outcome.alias("outcome"), F.coalesce("by_id", F.when(F.col("n") == 1, F.col("by_alias"))).alias("entity_id"))
 
@@ -90,18 +92,15 @@ def franchise_prefix(titles: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.when(F.octet_length(cut) >= 4, cut).alias("prefix"))
 
 
-def descendants(edges: DataFrame, start: Column | None = None, most: int = 64) -> DataFrame:
-    """(ancestor, node) pairs reachable over edges (parent, child), cycles included: a join per level until nothing is new."""
-    from functools import reduce
-
-    levels = [edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("node")).distinct()]
+def descendants(edges: DataFrame, start: Column | None = None) -> DataFrame:
+    """(ancestor, node) pairs reachable over edges (parent, child), cycles included: a join a level until nothing is new. Levels are
+    checkpointed, so the caller has set a checkpoint folder."""
+    seen = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("node")).distinct()
     if start is not None:
-        levels[0] = levels[0].where(start)
-    seen = levels[0]
-    for _ in range(most):
-        step = levels[-1].join(edges, F.col("node") == F.col("parent")).select("ancestor", F.col("child").alias("node")).distinct().join(seen, ["ancestor", "node"], "left_anti").checkpoint()
+        seen = seen.where(start)
+    step = seen
+    while True:
+        step = step.join(edges, F.col("node") == F.col("parent")).select("ancestor", F.col("child").alias("node")).distinct().join(seen, ["ancestor", "node"], "left_anti").checkpoint()
         if not step.limit(1).count():
-            break
-        levels.append(step)
-        seen = reduce(DataFrame.unionByName, levels)
-    return seen
+            return seen
+        seen = seen.unionByName(step).checkpoint()

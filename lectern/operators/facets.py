@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 LONG_TAIL = 20
 
@@ -34,13 +33,18 @@ def decade(release: Column) -> Column:
 
 def breakdown(rows: DataFrame, label: Column, key: Column | None = None, by_label: bool = False, most: int = LONG_TAIL) -> DataFrame:
     """(label, count, percentage) of groups of `key` (of the label, if none is given). Of more than `most` groups
-    those past it in order (largest first, or labels from the last) are one, Others. The window runs
-    over the groups, which are few, and not over rows."""
+    those past it in order (largest first, or labels from the last) are one, Others."""
     groups = rows.select((label if key is None else key).alias("key"), label.alias("label")).groupBy("key", "label").agg(F.count("*").alias("count"))
     order = [F.col("label").desc_nulls_last(), "key"] if by_label else [F.desc("count"), F.col("label").asc_nulls_last(), "key"]
-    ranked = groups.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    # Groups up to `most` stay apart, even if their labels are equal.
-    kept = ranked.withColumn("slot", F.least("rank", F.lit(most + 1))).groupBy("slot").agg(
-        F.when(F.first("slot") > most, F.lit("Others")).otherwise(F.first("label")).alias("label"), F.sum("count").alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
-    return kept.select("label", "count", F.round(F.col("count") * 100.0 / total, 4).alias("percentage"))
+    # The first in order, and the rest as the total less those: a bounded sort, and no window over all groups.
+    top = groups.orderBy(*order).limit(most)
+    one = groups.agg(F.sum("count").alias("total"), F.count("*").alias("groups")).join(top.agg(F.sum("count").alias("held"), F.count("*").alias("shown")))
+    rest = one.where("groups > shown").select(F.lit("Others").alias("label"), (F.col("total") - F.col("held")).alias("count"))
+    total = F.broadcast(one.select("total"))  # one row
+    return top.select("label", "count").unionByName(rest).join(total).select("label", "count", F.round(F.col("count") * 100.0 / F.col("total"), 4).alias("percentage"))
+
+
+def finished_since(books: DataFrame, progress: DataFrame, start: Column) -> DataFrame:
+    """How many books that aren't deleted were finished and last heard from `start` on."""
+    done = progress.where(F.col("is_finished") & (F.col("last_listened_at") >= start)).select("book_id").distinct()
+    return books.where("deleted_at IS NULL").join(done, "book_id", "left_semi").agg(F.count("*").alias("finished_since"))

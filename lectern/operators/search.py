@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions.codes import ascii_lower
+
 K1, B = 1.2, 0.75
 #: Letters with marks in the Latin ranges, and what they are without.
 _PAIRS = [(c, d) for c in map(chr, range(0xC0, 0x250)) if len(d := "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))) == 1 and d != c]
@@ -48,19 +50,17 @@ def match(docs: DataFrame, key: str, text: str, words: list[str], prefix: bool =
     """(key, score): docs that hold every word (or a term that starts with each), by BM25. Only terms of the
     query leave the scan; corpus figures are two small aggregates."""
     scanned = docs.select(key, tokens(F.col(text)).alias("t"))
-    figures = scanned.agg(F.count("*").alias("docs"), F.avg(F.size("t")).alias("mean"))
     rows = scanned.select(key, F.size("t").alias("length"), *(
         F.size(F.filter("t", (lambda w: lambda x: x.startswith(w) if prefix else x == w)(w))).alias(f"tf{i}") for i, w in enumerate(words)))
-    hits = rows.where(" OR ".join(f"tf{i} > 0" for i in range(len(words))))
-    frequencies = hits.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
+    # The corpus figures and the words' frequencies are one row, of one pass; the hits are a second one.
+    both = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
     score = F.lit(0.0)
     for i in range(len(words)):
         idf = F.log((F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
         score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    both = figures.crossJoin(frequencies)  # one row by one row
     every = " AND ".join(f"tf{i} > 0" for i in range(len(words)))
-    return hits.where(every).join(F.broadcast(both)).select(key, score.alias("score"))
+    return rows.where(every).join(F.broadcast(both)).select(key, score.alias("score"))
 
 
 def substring_match(docs: DataFrame, columns: list[str], phrase: str) -> DataFrame:
@@ -73,6 +73,29 @@ def substring_match(docs: DataFrame, columns: list[str], phrase: str) -> DataFra
     return docs.where(hit)
 
 
+def snippet(text: Column, words: list[str], most: int = 16) -> Column:
+    """`most` tokens around the first that is one of the words, these between [match] and [/match], dots where text is left out."""
+    t = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    hit = lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).isin(words)
+    at = F.array_position(F.transform(t, lambda x: F.coalesce(hit(x), F.lit(False))), True)
+    first = F.greatest(F.lit(1), F.least(at - most // 2, F.size(t) - most + 1)).cast("int")
+    shown = F.transform(F.slice(t, first, F.lit(most)), lambda x: F.when(hit(x), F.concat(F.lit("[match]"), x, F.lit("[/match]"))).otherwise(x))
+    dots = lambda some: F.when(some, "…").otherwise("")
+    return F.when(at > 0, F.concat(dots(first > 1), F.array_join(shown, " "), dots(first + most <= F.size(t))))
+
+
+def search(docs: DataFrame, key: str, columns: list[str], title: str, words: list[str], phrase: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """A page of docs (key, score, fuzzy) that hold every word in the columns together, best first, then by title in any ASCII case, then
+    by key; where that page is empty, those that hold the phrase. 50 rows unless asked, 500 at most."""
+    most = 50 if limit is None else min(500, max(1, limit))
+    rows = docs.withColumn("all_columns", F.concat_ws(" ", *columns))
+    hits = match(rows, key, "all_columns", words).join(docs.select(key, ascii_lower(F.col(title)).alias("by")), key)
+    page = hits.orderBy(F.desc(F.round("score", 9)), "by", key).offset(offset).limit(most).select(key, "score", F.lit(False).alias("fuzzy"))
+    if page.limit(1).count():
+        return page
+    return substring_match(docs, columns, phrase).orderBy(ascii_lower(F.col(title)), key).limit(most).select(key, F.lit(0.0).alias("score"), F.lit(True).alias("fuzzy"))
+
+
 def corrected(rows: DataFrame, key: str, text: str, names: list[str], most: float = 0.3) -> DataFrame:
     """rows with capitalised words that are nearly a name (by Levenshtein distance over length) put right. names
     is a dictionary the caller bounds; words are distinct before they are compared."""

@@ -8,7 +8,7 @@ from lectern.functions import scalar as N
 from lectern.operators import consensus as K
 from lectern.operators import state as S
 from lectern.operators import timeline as T
-from lectern.plans.standins import frame, with_
+from lectern.plans.standins import checkpoint_folder, frame, with_
 
 QUERIES, ORACLES = {}, {}
 
@@ -118,13 +118,29 @@ SELECT series_id, concat('Saga ', CAST(series_id % 7 AS VARCHAR), ': ') AS prefi
 
 @query("hierarchy_descendants", "WITH RECURSIVE e AS (SELECT n_nationkey AS child, n_regionkey AS parent FROM nation), r AS (SELECT parent AS ancestor, child AS node FROM e UNION SELECT r.ancestor, e.child FROM r JOIN e ON r.node = e.parent) SELECT * FROM r")
 def hierarchy_descendants(spark, d):
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    checkpoint_folder(spark)
     return K.descendants(spark.read.parquet(f"{d}/nation.parquet").selectExpr("n_regionkey AS parent", "n_nationkey AS child"))
 
 
+@query("hierarchy_deep", "WITH RECURSIVE e AS (SELECT c_custkey AS child, c_custkey // 3 AS parent FROM customer), r AS (SELECT parent AS ancestor, child AS node FROM e UNION SELECT r.ancestor, e.child FROM r JOIN e ON r.node = e.parent) SELECT * FROM r")
+def hierarchy_deep(spark, d):
+    checkpoint_folder(spark)
+    return K.descendants(spark.read.parquet(f"{d}/customer.parquet").selectExpr("c_custkey div 3 AS parent", "c_custkey AS child"))
+
+
+_STATED = "SELECT concat(o_orderpriority, o_orderstatus) AS series_id, concat(CASE WHEN o_orderpriority < '3' THEN 'Saga - ' ELSE '' END, CASE o_orderstatus WHEN 'F' THEN 'Part ' ELSE 'The : ' END, CAST(o_orderkey AS VARCHAR(19))) AS title FROM orders"
+
+
+@query("franchise_computed", f"""WITH e AS (SELECT series_id, min(title) AS a, max(title) AS b FROM ({_STATED}) GROUP BY series_id HAVING count(*) >= 2),
+p AS (SELECT series_id, a[1:list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda i: starts_with(b, a[1:i])))] AS p FROM e),
+c AS (SELECT series_id, CASE WHEN contains(p, ': ') THEN p[1:length(p) - instr(reverse(p), ' :') + 1] WHEN contains(p, ' - ') THEN p[1:length(p) - instr(reverse(p), ' - ') + 1] END AS c FROM p)
+SELECT series_id, CASE WHEN strlen(c) >= 4 THEN c END AS prefix FROM c""")
+def franchise_computed(spark, d):
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    case = "concat(CASE WHEN o_orderpriority < '3' THEN 'Saga - ' ELSE '' END, CASE o_orderstatus WHEN 'F' THEN 'Part ' ELSE 'The : ' END, o_orderkey)"
+    return K.franchise_prefix(orders.selectExpr("concat(o_orderpriority, o_orderstatus) AS series_id", f"{case} AS title"), "series_id")
+
+
 @query("owned_annotation", "SELECT o_orderkey AS product_id, CASE WHEN c_custkey IS NOT NULL THEN 'Owned' WHEN o_orderdate > TIMESTAMP '1997-01-01' THEN 'PreOrder' ELSE 'New' END AS state FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') ON c_custkey = o_custkey")
 def owned_annotation(spark, d):
     owned = spark.read.parquet(f"{d}/customer.parquet").where("c_mktsegment = 'BUILDING'").select("c_custkey")
@@ -246,8 +262,7 @@ _PROGRESS = "SELECT DISTINCT l_orderkey AS book_id, CASE l_linenumber WHEN 1 THE
 
 @query("stage_ready", f"WITH p AS ({_PROGRESS}), e AS (SELECT * FROM {_EDGES}), b AS (SELECT DISTINCT book_id FROM p) SELECT b.book_id, e.stage FROM b, e LEFT JOIN p ON p.book_id = b.book_id AND p.stage = e.requires AND p.status IN ('succeeded', 'skipped') WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.book_id = b.book_id AND q.stage = e.stage AND q.status IN ('succeeded', 'skipped', 'running')) GROUP BY 1, 2 HAVING bool_and(e.requires IS NULL OR p.stage IS NOT NULL)")
 def stage_ready(spark, d):
-    spark.read.parquet(f"{d}/lineitem.parquet").createOrReplaceTempView("lectern_lineitem")
-    progress = spark.sql(_PROGRESS.replace("FROM lineitem", "FROM lectern_lineitem"))
+    progress = spark.sql(_PROGRESS.replace("FROM lineitem", "FROM {lines}"), lines=spark.read.parquet(f"{d}/lineitem.parquet"))
     edges = spark.createDataFrame(_STAGES, "stage string, requires string")
     return S.ready(edges.select("stage").distinct(), edges, progress)
 

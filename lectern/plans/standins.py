@@ -47,6 +47,17 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.selectExpr(*[f"{e.replace('AS TIMESTAMP)', 'AS TIMESTAMP_NTZ)').replace('AS VARCHAR(9))', 'AS STRING)')} AS {c}" for c, e in columns.items()])
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Checkpoints go to spark.checkpoint.dir; where that is unset, one machine's session (tests) gets a local folder."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    import tempfile
+
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+
+
 def with_(*names: str) -> str:
     """A WITH clause that defines the tables for an oracle."""
     parts = [f"{n} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in TABLES[n][2].items())} FROM {TABLES[n][0]} WHERE {TABLES[n][1]})" for n in names]
