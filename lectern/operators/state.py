@@ -161,3 +161,34 @@ def field_changes(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -
     pairs = old.select(key, *[F.col(f).cast("string").alias(f"old_{f}") for f in fields]).join(new.select(key, *[F.col(f).cast("string").alias(f"new_{f}") for f in fields]), key)
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"old_{f}").alias("before"), F.nullif(F.trim(f"new_{f}"), F.lit("")).alias("after"), F.col(f"new_{f}").isNotNull().alias("asked")) for f in fields]))
     return pairs.select(key, cells.alias("c")).select(key, "c.*").where("asked AND NOT (before <=> after)").drop("asked")
+
+
+def longest_roots(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """paths (path_id, path) with the deepest of roots (root) that holds each: a path's ancestors, and itself, are rows that meet
+    roots on an equal key."""
+    parts = F.split("path", "/")
+    each = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    rows = paths.select("path_id", F.explode(each).alias("root")).where("root <> ''")
+    held = rows.join(roots.select("root").distinct(), "root").groupBy("path_id").agg(F.max_by("root", F.char_length("root")).alias("root"))
+    return paths.join(held, "path_id", "left")
+
+
+#: Fields that are written into files' tags (fixed values).
+TAG_FIELDS = ("title", "subtitle", "author", "narrator", "series", "publisher", "language", "description", "release_date", "genre", "asin", "isbn")
+
+
+def tag_winners(candidates: DataFrame, fields: tuple[str, ...] = TAG_FIELDS) -> DataFrame:
+    """Winning candidates (book_id, field, value, is_winner) of the fields that tags have."""
+    return candidates.where(F.col("is_winner") & F.col("field").isin(*fields)).select("book_id", "field", "value")
+
+
+def confirmed(signatures: DataFrame, least: int = 5) -> DataFrame:
+    """signatures (verified_via, match_count) with those that silence verified and that matched often enough confirmed."""
+    return signatures.withColumn("confirmed", F.coalesce((F.col("verified_via") == "silence") & (F.col("match_count") >= least), F.lit(False)))
+
+
+def prestripped(books: DataFrame, matches: DataFrame, coverage: DataFrame) -> DataFrame:
+    """books (book_id) whose intro was cut before they came: covered so (book_id, coverage), without a candidate or applied match
+    (book_id, status)."""
+    open_ = matches.where(F.col("status").isin("candidate", "applied")).select("book_id").distinct()
+    return books.join(coverage.where("coverage = 'PreStripped'").select("book_id").distinct(), "book_id", "left_semi").join(open_, "book_id", "left_anti")

@@ -376,3 +376,31 @@ def search_series(spark, d):
 def search_narrators(spark, d):
     names = frame(spark, d, "authors").select(F.col("author_id").alias("narrator_id"), "name")
     return C.entity_list(X.substring_match(names, ["name"], "0001"), frame(spark, d, "book_narrator").select("narrator_id", "book_id").distinct(), "narrator_id")
+
+
+@query("longest_roots", """WITH p AS (SELECT o_orderkey AS path_id, concat('/m/', CAST(o_custkey AS VARCHAR), '/', o_orderstatus, '/', CAST(o_orderkey AS VARCHAR)) AS path FROM orders), r AS (SELECT concat('/m/', CAST(c_custkey AS VARCHAR)) AS root FROM customer UNION SELECT concat('/m/', CAST(c_custkey AS VARCHAR), '/F') FROM customer UNION SELECT '/m')
+SELECT path_id, (SELECT arg_max(root, length(root)) FROM r WHERE p.path = r.root OR starts_with(p.path, concat(r.root, '/'))) AS root FROM p""")
+def longest_roots(spark, d):
+    paths = _read(spark, d, "orders").selectExpr("o_orderkey AS path_id", "concat('/m/', o_custkey, '/', o_orderstatus, '/', o_orderkey) AS path")
+    customers = _read(spark, d, "customer")
+    roots = customers.selectExpr("explode(array(concat('/m/', c_custkey), concat('/m/', c_custkey, '/F'), '/m')) AS root")
+    return S.longest_roots(paths, roots).select("path_id", "root")
+
+
+@query("tag_winners", "SELECT l_orderkey AS book_id, CASE l_returnflag WHEN 'A' THEN 'title' ELSE 'asin' END AS field, l_linestatus AS value FROM lineitem WHERE l_returnflag <> 'R' AND l_discount > 0.05")
+def tag_winners(spark, d):
+    rows = _read(spark, d, "lineitem").selectExpr("l_orderkey AS book_id", "CASE l_returnflag WHEN 'A' THEN 'title' WHEN 'N' THEN 'asin' ELSE 'mood' END AS field", "l_linestatus AS value", "l_discount > 0.05 AS is_winner")
+    return S.tag_winners(rows)
+
+
+@query("confirmed_signatures", "SELECT p_partkey, p_size % 2 = 0 AND p_size >= 5 AS confirmed FROM part")
+def confirmed_signatures(spark, d):
+    rows = _read(spark, d, "part").selectExpr("p_partkey", "CASE WHEN p_size % 2 = 0 THEN 'silence' END AS verified_via", "p_size AS match_count")
+    return S.confirmed(rows).select("p_partkey", "confirmed")
+
+
+@query("prestripped_books", with_("books") + "SELECT book_id FROM books WHERE audiologo_status <> 'applied' AND book_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND book_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+def prestripped_books(spark, d):
+    books = frame(spark, d, "books").where("audiologo_status <> 'applied'").select("book_id")
+    coverage = _read(spark, d, "orders").selectExpr("o_orderkey AS book_id", "CASE WHEN o_orderstatus = 'F' THEN 'PreStripped' ELSE 'Full' END AS coverage")
+    return S.prestripped(books, _read(spark, d, "events").where("event_type = 'error'").selectExpr("user_id AS book_id", "'candidate' AS status"), coverage)
