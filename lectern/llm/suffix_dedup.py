@@ -1,7 +1,7 @@
 """Suffix-array dedup: remove every byte covered by a string of `length` bytes that also starts elsewhere.
 
 In five steps, that lose no repeat whatever the size. What is taken for equal is equal in hashes, not compared byte by
-byte: contexts in 128 bits (64 of the seed, 64 of the whole context), windows of very large seeds in 64 beside the seed's
+byte: contexts in 128 bits (64 of the seed, 64 of the whole context), bytes beside a parted seed in 64 beside the seed's
 64; a document is known by 64 bits of its id and text.
 
 1. Seeds: each window of `length` bytes selects its k-grams of least hash, so equal windows select equal
@@ -13,8 +13,8 @@ byte: contexts in 128 bits (64 of the seed, 64 of the whole context), windows of
    contexts: suffixes sorted by (place, following bytes), each place's order from the next one's; only
    where a run of preceding bytes ends is the match with the neighbour measured. Streaming over the
    text, a match is at least the match one byte before, less one; that gives each window's longest
-   match, and long ones are marked. A seed with too many contexts for a block goes by hashes of its windows instead,
-   grouped by Spark.
+   match, and long ones are marked. A seed with too many contexts for a block is parted by the bytes beside it, by
+   hashes that Spark groups, until its blocks are bounded or all in a block share their windows.
 4. Marks go back to all occurrences and are united per document.
 5. Bytes marked are cut out.
 
@@ -30,7 +30,7 @@ the results replace; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ from lectern.llm.shared import discard, written
 
 LENGTH, GRAM = 200, 64
 PIECE = 1 << 20
-BLOCK_BYTES, MOST_CONTEXTS = 2 << 20, 16384
+BLOCK_BYTES, MOST_CONTEXTS = 2 << 20, 1024
 INVERSE = pow(A.MULTIPLIER, -1, 1 << 64)
 
 
@@ -242,7 +242,7 @@ MARKS = "seed bigint, ctx bigint, s int, e int"
 
 
 def mark_blocks(contexts: DataFrame, length: int) -> DataFrame:
-    """Marks of contexts (seed, ctx, before, bytes) that come with all contexts of their seed."""
+    """Marks of contexts (block, seed, ctx, before, bytes), found by an index of each block's contexts together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -258,8 +258,8 @@ def mark_blocks(contexts: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kinds[k]) for k in range(4)], ["seed", "ctx", "s", "e"])
 
         for batch in batches:
-            for row in zip(*(A.column(batch, c).to_pylist() for c in ("seed", "ctx", "before", "bytes")), strict=True):
-                if rows and held >= BLOCK_BYTES and rows[-1][0] != row[0]:
+            for row in zip(*(A.column(batch, c).to_pylist() for c in ("seed", "ctx", "before", "bytes", "block")), strict=True):
+                if rows and held >= BLOCK_BYTES and rows[-1][4] != row[4]:
                     yield flush()
                     rows, held = [], 0
                 rows.append(row)
@@ -267,26 +267,42 @@ def mark_blocks(contexts: DataFrame, length: int) -> DataFrame:
         if rows:
             yield flush()
 
-    return contexts.repartition("seed").sortWithinPartitions("seed").mapInArrow(run, MARKS)
-
-
-def mark_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for contexts of seeds with more contexts than a block takes: each window's hash is a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for seed, ctx, before, raw in zip(*(A.column(batch, c).to_pylist() for c in ("seed", "ctx", "before", "bytes")), strict=True):
-                n = len(raw) - length + 1
-                start = np.arange(n)
-                h = _context_hashes(np.frombuffer(raw, np.uint8), start, start + length, np.zeros(n, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, seed)), pa.array(np.full(n, ctx)), pa.array(start.astype(np.int32)), pa.array((start - before).astype(np.int32)), pa.array(h.view(np.int64))],
-                    ["seed", "ctx", "at", "place", "h"],
-                )
-
-    windows = written(contexts.mapInArrow(run, "seed bigint, ctx bigint, at int, place int, h bigint"), "windows")
-    twice = written(windows.groupBy("seed", "place", "h").count().where("count > 1").drop("count"), "twice")
-    return windows.join(twice, ["seed", "place", "h"]).groupBy("seed", "ctx").agg(F.min("at").alias("s"), (F.max("at") + length).alias("e"))
+    return contexts.repartition("block").sortWithinPartitions("block").mapInArrow(run, MARKS)
+
+
+def bounded_blocks(contexts: DataFrame, length: int, k: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(contexts to be indexed by their column `block`, marks found on the way) of contexts (seed, ctx, before,
+    bytes) of seeds with more contexts than a block takes.
+
+    The windows around a seed start from `lo` to `hi` places beside it. A range of starts is halved; windows of a half
+    all hold the bytes from hi to lo + length, so contexts that share one of them agree there: these bytes' hash parts
+    each half's contexts into blocks. A context alone in its block shares none of the half's windows. If each
+    context of a block has one beside it with the same bytes over the whole half, all windows of the half are repeats.
+    Blocks that are still too large are halved again; a range of one window is such a case, so this ends."""
+    ranges = contexts.withColumns({"lo": F.lit(k - length), "hi": F.lit(0)})
+    blocks, marks, key = [], [], ["seed", "lo", "hi", "h"]
+    before = F.col("before")
+
+    def part(at, size):
+        return F.xxhash64(F.substring("bytes", (before + at + 1).cast("int"), size.cast("int")))
+
+    while ranges is not None:
+        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi")))
+        rows = ranges.select("seed", "ctx", "before", "bytes", F.explode(halves).alias("x")).select("seed", "ctx", "before", "bytes", "x.*")
+        lo, hi, after = F.col("lo"), F.col("hi"), F.octet_length("bytes") - before
+        some = F.greatest(lo, -before) <= F.least(hi, after - length)
+        whole = (lo >= -before) & (hi + length <= after)
+        rows = rows.where((lo <= hi) & some).withColumns({"h": part(hi, lo + length - hi), "g": F.when(whole, part(lo, hi + length - lo))})
+        rows = written(rows, "halves")
+        alike = rows.groupBy(*key, "g").agg(F.count("*").alias("n"))
+        groups = alike.groupBy(*key).agg(F.sum("n").alias("size"), F.min(F.when(F.col("g").isNull(), 1).otherwise(F.col("n"))).alias("least"))
+        rows = written(rows.drop("g").join(groups.where("size > 1"), key), "blocks")
+        marks.append(rows.where("least > 1").select("seed", "ctx", (before + lo).alias("s"), (before + hi + length).alias("e")))
+        blocks.append(rows.where(f"least = 1 AND size <= {MOST_CONTEXTS}").select("seed", "ctx", "before", "bytes", F.xxhash64(*key).alias("block")))
+        large = rows.where(f"least = 1 AND size > {MOST_CONTEXTS}")
+        ranges = large.select("seed", "ctx", "before", "bytes", "lo", "hi") if large.limit(1).count() else None
+    return blocks, marks
 
 
 def with_partners(contexts: DataFrame, length: int, k: int) -> DataFrame:
@@ -321,9 +337,14 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, k: int = GRAM) -> DataF
     bytes_ = written(bytes_, "partners")
     sizes = written(bytes_.groupBy("seed").agg(F.count("*").alias("contexts"), F.min("n").alias("least")).where("contexts > 1 and least = 1").drop("least"), "sizes")
     bytes_ = bytes_.join(sizes, "seed").drop("n")
-    marks = mark_blocks(bytes_.where(F.col("contexts") <= MOST_CONTEXTS).drop("contexts"), length)
+    small = bytes_.where(F.col("contexts") <= MOST_CONTEXTS).drop("contexts").withColumn("block", F.col("seed"))
+    blocks, marks = [small], []
     if sizes.where(F.col("contexts") > MOST_CONTEXTS).limit(1).count():
-        marks = marks.unionByName(mark_windows(bytes_.where(F.col("contexts") > MOST_CONTEXTS).drop("contexts"), length))
+        more, marks = bounded_blocks(bytes_.where(F.col("contexts") > MOST_CONTEXTS).drop("contexts"), length, k)
+        blocks += more
+    marks = reduce(DataFrame.unionByName, marks, mark_blocks(reduce(DataFrame.unionByName, blocks), length))
+    # A context can lie in several blocks. All its windows hold the seed, so what they cover together is one run.
+    marks = marks.groupBy("seed", "ctx").agg(F.min("s").alias("s"), F.max("e").alias("e"))
     single = ctx.where("n = 1").select("seed", "ctx")
     whole = ctx.where("n > 1").select("seed", "ctx", F.lit(0).alias("s"), F.col("at.size").cast("int").alias("e"))
     marks = written(whole.unionByName(marks.join(single, ["seed", "ctx"], "left_semi")), "marks")
