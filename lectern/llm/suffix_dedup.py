@@ -288,8 +288,8 @@ def bounded_blocks(contexts: DataFrame, length: int, k: int) -> tuple[list[DataF
 
     while ranges is not None:
         middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        halves = F.array(F.struct(F.col("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi")))
-        rows = ranges.select("seed", "ctx", "before", "bytes", F.explode(halves).alias("x")).select("seed", "ctx", "before", "bytes", "x.*")
+        two = F.array(F.struct(F.col("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi")))
+        rows = ranges.select("seed", "ctx", "before", "bytes", F.explode(two).alias("x")).select("seed", "ctx", "before", "bytes", "x.*")
         lo, hi, after = F.col("lo"), F.col("hi"), F.octet_length("bytes") - before
         some = F.greatest(lo, -before) <= F.least(hi, after - length)
         whole = (lo >= -before) & (hi + length <= after)
@@ -297,7 +297,10 @@ def bounded_blocks(contexts: DataFrame, length: int, k: int) -> tuple[list[DataF
         rows = written(rows, "halves")
         alike = rows.groupBy(*key, "g").agg(F.count("*").alias("n"))
         groups = alike.groupBy(*key).agg(F.sum("n").alias("size"), F.min(F.when(F.col("g").isNull(), 1).otherwise(F.col("n"))).alias("least"))
-        rows = written(rows.drop("g").join(groups.where("size > 1"), key), "blocks")
+        # Written first: a join on both sides' plain shuffles is one that adaptive execution can split at a hot key.
+        groups = written(groups.where("size > 1"), "groups")
+        halves, rows = rows, written(rows.drop("g").join(groups, key), "blocks")
+        discard(halves, groups)
         marks.append(rows.where("least > 1").select("seed", "ctx", (before + lo).alias("s"), (before + hi + length).alias("e")))
         blocks.append(rows.where(f"least = 1 AND size <= {MOST_CONTEXTS}").select("seed", "ctx", "before", "bytes", F.xxhash64(*key).alias("block")))
         large = rows.where(f"least = 1 AND size > {MOST_CONTEXTS}")
