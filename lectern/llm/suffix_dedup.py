@@ -276,34 +276,32 @@ def bounded_blocks(contexts: DataFrame, length: int, k: int) -> tuple[list[DataF
 
     The windows around a seed start from `lo` to `hi` places beside it. A range of starts is halved; windows of a half
     all hold the bytes from hi to lo + length, so contexts that share one of them agree there: these bytes' hash parts
-    each half's contexts into blocks. A context alone in its block shares none of the half's windows. If each
-    context of a block has one beside it with the same bytes over the whole half, all windows of the half are repeats.
-    Blocks that are still too large are halved again; a range of one window is such a case, so this ends."""
+    each half's contexts into blocks. Contexts that are alike over all windows of a half are marked there, and one stays
+    for them; one alone in its block shares no other window of the half. Blocks that are still too large are halved
+    again. Contexts in a block of a range of one window are all alike, so this ends."""
     ranges = contexts.withColumns({"lo": F.lit(k - length), "hi": F.lit(0)})
     blocks, marks, key = [], [], ["seed", "lo", "hi", "h"]
-    before = F.col("before")
+    before, lo, hi = F.col("before"), F.col("lo"), F.col("hi")
+    first, last = F.greatest(lo, -before), F.least(hi, F.octet_length("bytes") - before - length)
 
-    def part(at, size):
-        return F.xxhash64(F.substring("bytes", (before + at + 1).cast("int"), size.cast("int")))
+    def part(start, stop):
+        return F.substring("bytes", (before + start + 1).cast("int"), (stop - start).cast("int"))
 
     while ranges is not None:
-        middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        two = F.array(F.struct(F.col("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), F.col("hi")))
+        middle = F.floor((lo + hi) / 2).cast("int")
+        two = F.array(F.struct(lo, middle.alias("hi")), F.struct((middle + 1).alias("lo"), hi))
         rows = ranges.select("seed", "ctx", "before", "bytes", F.explode(two).alias("x")).select("seed", "ctx", "before", "bytes", "x.*")
-        lo, hi, after = F.col("lo"), F.col("hi"), F.octet_length("bytes") - before
-        some = F.greatest(lo, -before) <= F.least(hi, after - length)
-        whole = (lo >= -before) & (hi + length <= after)
-        rows = rows.where((lo <= hi) & some).withColumns({"h": part(hi, lo + length - hi), "g": F.when(whole, part(lo, hi + length - lo))})
+        rows = rows.where((lo <= hi) & (first <= last)).withColumns({
+            "h": F.xxhash64(part(hi, lo + length)), "g": F.xxhash64(first, last, part(first, last + length)), "s": before + first, "e": before + last + length})
         rows = written(rows, "halves")
-        alike = rows.groupBy(*key, "g").agg(F.count("*").alias("n"))
-        groups = alike.groupBy(*key).agg(F.sum("n").alias("size"), F.min(F.when(F.col("g").isNull(), 1).otherwise(F.col("n"))).alias("least"))
+        alike = rows.groupBy(*key, "g").agg(F.count("*").alias("n"), F.min(F.struct("ctx", "before", "bytes")).alias("one"))
         # Written first: a join on both sides' plain shuffles is one that adaptive execution can split at a hot key.
-        groups = written(groups.where("size > 1"), "groups")
-        halves, rows = rows, written(rows.drop("g").join(groups, key), "blocks")
-        discard(halves, groups)
-        marks.append(rows.where("least > 1").select("seed", "ctx", (before + lo).alias("s"), (before + hi + length).alias("e")))
-        blocks.append(rows.where(f"least = 1 AND size <= {MOST_CONTEXTS}").select("seed", "ctx", "before", "bytes", F.xxhash64(*key).alias("block")))
-        large = rows.where(f"least = 1 AND size > {MOST_CONTEXTS}")
+        alike = written(alike, "alike")
+        sizes = written(alike.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        marks.append(rows.join(alike.where("n > 1").select(*key, "g"), [*key, "g"]).select("seed", "ctx", "s", "e"))
+        rest = written(alike.join(sizes, key).select(*key, "size", "one.*"), "rest")
+        blocks.append(rest.where(f"size <= {MOST_CONTEXTS}").select("seed", "ctx", "before", "bytes", F.xxhash64(*key).alias("block")))
+        large = rest.where(f"size > {MOST_CONTEXTS}")
         ranges = large.select("seed", "ctx", "before", "bytes", "lo", "hi") if large.limit(1).count() else None
     return blocks, marks
 
