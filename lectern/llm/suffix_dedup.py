@@ -298,8 +298,9 @@ def bounded_blocks(contexts: DataFrame, length: int, k: int) -> tuple[list[DataF
         # Written first: a join on both sides' plain shuffles is one that adaptive execution can split at a hot key.
         alike = written(alike, "alike")
         sizes = written(alike.groupBy(*key).agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        marks.append(rows.join(alike.where("n > 1").select(*key, "g"), [*key, "g"]).select("seed", "ctx", "s", "e"))
+        marks.append(written(rows.join(alike.where("n > 1").select(*key, "g"), [*key, "g"]).select("seed", "ctx", "s", "e"), "alike_marks"))
         rest = written(alike.join(sizes, key).select(*key, "size", "one.*"), "rest")
+        discard(rows, alike, sizes)
         blocks.append(rest.where(f"size <= {MOST_CONTEXTS}").select("seed", "ctx", "before", "bytes", F.xxhash64(*key).alias("block")))
         large = rest.where(f"size > {MOST_CONTEXTS}")
         ranges = large.select("seed", "ctx", "before", "bytes", "lo", "hi") if large.limit(1).count() else None
