@@ -73,9 +73,9 @@ def search_entities(spark, d):
     return entity_list(hits, frame(spark, d, "books").select("author_id"), "author_id")
 
 
-@query("sanitised_query", "SELECT doc_id, trim(regexp_replace(regexp_replace(text[1:200], '[^\\p{L}\\p{N}''-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS q FROM documents")
+@query("sanitised_query", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}''-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS q FROM documents")
 def sanitised_query(spark, d):
-    return _docs(spark, d).select("doc_id", X.sanitised(F.substring("text", 1, 200)).alias("q"))
+    return _docs(spark, d).select("doc_id", X.sanitised(F.col("text")).alias("q"))
 
 
 @query("sanitised_text", "SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}''-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS q FROM documents")
@@ -134,9 +134,9 @@ def long_dates(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", N.long_date(F.col("o_orderdate")).alias("long"))
 
 
-@query("split_values", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text[1:300], '[;/,|]'), lambda x: trim(x)), lambda x: x <> ''), '#') AS parts FROM documents")
+@query("split_values", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '[;/,|]'), lambda x: trim(x)), lambda x: x <> ''), '#') AS parts FROM documents")
 def split_values(spark, d):
-    return _docs(spark, d).select("doc_id", F.array_join(N.split_values(F.substring("text", 1, 300)), "#").alias("parts"))
+    return _docs(spark, d).select("doc_id", F.array_join(N.split_values(F.col("text")), "#").alias("parts"))
 
 
 @query("split_text", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '[;/,|]'), lambda x: trim(x)), lambda x: x <> ''), '#') AS parts FROM documents")
