@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, chat_format, decontamination, language_id, minhash, permutation_index, quality, suffix_dedup, toxicity, warc
+from lectern.llm import bpe, chat_format, decontamination, language_id, minhash, permutation_index, phrases, quality, suffix_dedup, toxicity, warc
 from lectern.llm.shared import new_path, table
 
 
@@ -78,6 +78,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(warc.dealt(index))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_language_id": op2_language_id,
@@ -89,6 +93,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_minhash": op9_minhash,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_phrases": op11_phrases,
 }
 
 _OP1 = r"""
@@ -137,4 +142,23 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
-ORACLES = {"op8_warc": _OP8, "op1_chat_format": _OP1, "op9_minhash": _OP9}
+_OP11 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+k AS (SELECT unnest(range(1, 6)) AS k),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM w, k WHERE len(w) >= k),
+f AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+s AS (
+  SELECT f.lang, f.g, f.a, x.a AS l, y.a AS r, CAST(n AS BIGINT) AS n, CAST((1000::HUGEINT * f.a * n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY f.lang, f.g ORDER BY (1000::HUGEINT * f.a * n) // (x.a::HUGEINT * y.a), x.k) AS nth
+  FROM f JOIN t ON t.lang = f.lang JOIN f x ON x.lang = f.lang AND x.k < f.k AND x.g = f.g[1:x.k] JOIN f y ON y.lang = f.lang AND y.k = f.k - x.k AND y.g = f.g[x.k + 1:]
+  WHERE f.k > 1
+), d AS (SELECT DISTINCT z.lang, z.g[i:i + m - 1] AS g, z.a FROM f z, unnest(range(2, 5)) AS m(m), unnest(range(1, 5)) AS i(i) WHERE m < z.k AND i + m - 1 <= z.k)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS INTEGER) AS rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score
+FROM s WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM d WHERE d.lang = s.lang AND d.g = s.g AND d.a >= s.a)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) <= 2000
+"""
+
+ORACLES = {"op11_phrases": _OP11, "op8_warc": _OP8, "op1_chat_format": _OP1, "op9_minhash": _OP9}
