@@ -222,6 +222,16 @@ def wide(width: int, data: bytes) -> np.ndarray:
 ARRAYS = "id bigint, part int, width int, data binary"
 
 
+def packed(x: np.ndarray) -> tuple[int, bytes]:
+    """(bytes a value, values compressed) of BLOCK counts."""
+    width, data = narrow(x)
+    return width, pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(width: int, data: bytes) -> np.ndarray:
+    return wide(width, pa.decompress(data, BLOCK * width, "zstd", asbytes=True))
+
+
 def tree_sum(arrays: DataFrame) -> DataFrame:
     """(id, part = 0, width, data): arrays (id, part, width, data) of one id added up, ARITY parts at a time."""
     most = arrays.agg(F.max("part")).first()[0] or 0
@@ -230,8 +240,8 @@ def tree_sum(arrays: DataFrame) -> DataFrame:
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.int64)
         for width, data in zip(group.column("width").to_pylist(), group.column("data").to_pylist(), strict=True):
-            total += wide(width, data)
-        width, data = narrow(total)
+            total += unpacked(width, data)
+        width, data = packed(total)
         return pa.table({"id": group.column("id").slice(0, 1), "part": group.column("part").slice(0, 1), "width": pa.array([width], pa.int32()), "data": pa.array([data], pa.binary())})
 
     while True:
@@ -247,7 +257,7 @@ def each_count(sums: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, width, data in zip(A.column(b, "id").to_pylist(), A.column(b, "width").to_pylist(), A.column(b, "data").to_pylist(), strict=True):
-                x = wide(width, data)
+                x = unpacked(width, data)
                 at = np.flatnonzero(x >= least)
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(i * BLOCK + at), pa.array(x[at])], ["slot", "a"])

@@ -35,7 +35,7 @@ from lectern.llm import perfect_hash as H
 from lectern.llm.shared import discard, written
 
 #: Bins of hashed pairs: 2 ** BINS counts, of which one bit each goes to the tasks.
-BINS = 21
+BINS = 22
 #: Bytes of text, and slots, looked at together.
 TEXT, SLOTS = 8 << 20, 4 << 20
 BREAK = np.zeros(256, bool)
@@ -152,19 +152,19 @@ class Pass:
     """What a task hands on from one pass: sequences at once, bins of pairs side by side and counts at its end."""
 
     def __init__(self, bins: bool):
-        self.bins = np.zeros(1 << BINS, np.int64) if bins else None
+        self.bins = np.zeros(1 << BINS, np.uint32) if bins else None
         self.tally = H.Tally()
         context = TaskContext.get()
         self.part = context.partitionId() if context else 0
 
     def row(self, kind: str, i: int, x: np.ndarray) -> pa.RecordBatch:
-        width, data = H.narrow(x)
+        width, data = H.narrow(x) if kind == "sequence" else H.packed(x)
         return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([i], pa.int64()), pa.array([self.part], pa.int32()), pa.array([width], pa.int32()), pa.array([data], pa.binary())], ["kind", "id", "part", "width", "data"])
 
     def sequence(self, s: np.ndarray) -> Iterator[pa.RecordBatch]:
         s = shortened(s)
         if self.bins is not None:
-            self.bins += np.bincount(bin_of(pairs_of(s)[3]), minlength=1 << BINS)
+            np.add.at(self.bins, bin_of(pairs_of(s)[3]), 1)
         if len(s):
             yield self.row("sequence", 0, s)
 
@@ -263,7 +263,7 @@ def bin_bits(bins: DataFrame, least: int) -> np.ndarray:
     """One bit for each bin, set where the sum is at least `least`: 2 ** BINS bits, whatever the input."""
     out = np.zeros(1 << (BINS - 3), np.uint8)
     for i, width, data in H.tree_sum(bins).select("id", "width", "data").toLocalIterator():
-        out[i * H.BLOCK // 8 : (i + 1) * H.BLOCK // 8] = np.packbits(H.wide(width, bytes(data)) >= least, bitorder="little")
+        out[i * H.BLOCK // 8 : (i + 1) * H.BLOCK // 8] = np.packbits(H.unpacked(width, bytes(data)) >= least, bitorder="little")
     return out
 
 
