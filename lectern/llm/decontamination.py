@@ -14,11 +14,16 @@ A name is a capitalised word inside a sentence; the first word of one may be a n
 digits with inner punctuation and perhaps a unit's letters behind it; a unit is, after a number, a word of at most three
 letters (of one over another, too) or a spelt-out one of UNITS. What counts as a name hangs on case and on the
 word before, so each window is posted under up to three hashes that differ: of its plain case-folded words, of its
-template, and (whole windows with two plain words at least) of its template with sentences' first words as names; any of
-them brings a pair, so copies in another case, after a heading or with other names at sentence starts are found.
+template, and (whole windows) of its template with sentences' first words as names; any of them brings a pair, so copies in
+another case, after a heading or with other names at sentence starts are found. The last two need two plain words at least: a run of
+numbers or names says nothing by its kinds, so it matches by its own words only and has no slots.
 
 Texts are parsed by columns: split by Arrow, each distinct word looked at once a task, the rest in numpy.
 
+A window without slots that an item repeats is covered wherever the document has it, and takes no part in chains: a
+document's repeats of it are one row. Others are a row for each place in the document and each in the item that
+has the same window. Conflicts are counted by groups of (document, item, diagonal, value), so no row holds a chain.
+
 Before the join a fixed-size bit map of the benchmark's windows (2**22 bits; it only saves work, as the
 join decides) drops document windows that no item has, so of the documents only near-hits are
 shuffled. Very common windows meet few rows of the benchmark per key, and pairs are aggregated by
@@ -40,7 +45,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import arrow_text as A
@@ -57,7 +62,7 @@ EDGE = " \t\n\r.,;:!?\"'()[]{}<>*#$%&|_-–—…«»„“”"
 #: What the kinds of slots put into a template; 0 is no slot.
 PLACEHOLDERS = (None, "\x01n", "\x01u", "\x01c")
 KNOWN = 200_000
-#: Plain words that a window with sentences' first words as names has at least.
+#: Plain words that a window has at least if its slots may hold other values.
 PLAIN = 2
 
 
@@ -133,7 +138,8 @@ def forms(p: Parsed, size: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray
     plain = window_hashes(p.ids, size)
     yield plain, np.ones(len(plain), bool), p.kinds
     template = window_hashes(np.where(p.kinds > 0, IDS[p.kinds], p.ids), size)
-    yield template, template != plain, p.kinds
+    words = np.concatenate([[0], np.cumsum(p.kinds == 0)])
+    yield template, (template != plain) & (words[size:] - words[:-size] >= PLAIN), p.kinds
     if size == n and p.first_names.any():
         kinds = np.where(p.first_names, 3, p.kinds).astype(np.int8)
         third = window_hashes(np.where(kinds > 0, IDS[kinds], p.ids), size)
@@ -173,9 +179,11 @@ def windows(rows: DataFrame, n: int, sizes: list[int] | None = None, bitmap: np.
                         continue
                     each = (at[:, None] + np.arange(size)).ravel()
                     ends = pa.array((np.arange(len(at) + 1) * size).astype(np.int32))
+                    own_kinds = kinds[each].reshape(-1, size)
+                    own_kinds[(own_kinds == 0).sum(axis=1) < PLAIN] = 0
                     yield pa.RecordBatch.from_arrays([
                         docs.take(pa.array(text[at])), pa.array(place[at].astype(np.int32)), pa.array(h[at].view(np.int64)), pa.array((own[at] - size + 1).astype(np.int32)),
-                        pa.ListArray.from_arrays(ends, p.vocabulary.take(pa.array(p.word[each]))), pa.ListArray.from_arrays(ends, pa.array(kinds[each].astype(np.int32))),
+                        pa.ListArray.from_arrays(ends, p.vocabulary.take(pa.array(p.word[each]))), pa.ListArray.from_arrays(ends, pa.array(own_kinds.ravel().astype(np.int32))),
                     ], ["id", "pos", "h", "n_windows", "words", "kinds"])
 
     return rows.mapInArrow(run, WINDOWS)
@@ -195,34 +203,33 @@ def leaks(docs: DataFrame, items: DataFrame, n: int = 5, cover: float = 0.5) ->
     posted = written(windows(items.where("item_id is not null").select(F.col("item_id").alias("id"), "text"), n), "items")
     short = [r[0] for r in posted.where(F.size("words") < n).select(F.size("words")).distinct().collect()]
     own = windows(docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"), n, sorted(short), _bitmap(posted))
-    pairs = own.select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "h", F.col("words").alias("said")).join(
-        posted.select(F.col("id").alias("item_id"), "pos", "h", "n_windows", "words", "kinds"), "h"
-    ).where(F.size("said") == F.size("words"))
-    # The item's slots with the document's words in their places: where the plain words match, the same words.
+    own = written(own.select(F.col("id").alias("doc_id"), F.col("pos").alias("at"), "h", F.col("words").alias("said")), "hits")
+    wanted = posted.select(F.col("id").alias("item_id"), "pos", "h", "n_windows", "words", "kinds").withColumn(
+        "free", (F.count("*").over(Window.partitionBy("item_id", "h")) > 1) & ~F.exists("kinds", lambda k: k > 0))
+    # The item's slots with the document's words in their places; other words are the same.
     zipped = F.arrays_zip(F.col("words").alias("x"), F.col("said").alias("y"), F.col("kinds").alias("kind"))
+    alike = (F.size("said") == F.size("words")) & ~F.exists(zipped, lambda s: (s["kind"] == 0) & (s["x"] != s["y"]))
+    # Windows without slots that the item repeats: that the document has them is all that counts, wherever.
+    free = own.select("doc_id", "h", "said").distinct().join(wanted.where("free"), "h").where(alike).select("doc_id", "item_id", "pos", "n_windows")
     slots = F.transform(zipped, lambda s, i: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["kind"].alias("kind"), (F.col("pos") + i).alias("place")))
-    pairs = pairs.select("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("diagonal"), "pos", "n_windows", F.filter(slots, lambda s: s["kind"] > 0).alias("slots"))
-    chains = pairs.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set(F.struct("pos", "slots")).alias("windows"), F.first("n_windows").alias("n_windows"))
-    chains = chains.withColumn("placed", F.array_distinct(F.flatten(F.transform("windows", lambda w: w["slots"]))))
-    chains = chains.withColumn("slots", F.array_distinct(F.transform("placed", lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["kind"].alias("kind")))))
+    chain = ["doc_id", "item_id", "diagonal"]
+    pairs = own.join(wanted.where("not free"), "h").where(alike)
+    pairs = written(pairs.select("doc_id", "item_id", (F.col("at") - F.col("pos")).alias("diagonal"), "pos", "n_windows", F.filter(slots, lambda s: s["kind"] > 0).alias("slots")).distinct(), "windows")
+    each = pairs.select(*chain, "pos", "slots", F.explode("slots").alias("s")).select(*chain, "pos", "slots", "s.x", "s.y", "s.kind", "s.place")
+    placed = each.select(*chain, "x", "y", "kind", "place").distinct()
     # A chain disagrees if the document keeps a number of the item in one place and changes it in another.
-    same = F.transform(F.filter("slots", lambda s: s["x"] == s["y"]), lambda s: s["x"])
-    agreed = chains.where(~F.exists("slots", lambda s: (s["kind"] == 1) & (s["x"] != s["y"]) & F.array_contains(same, s["x"])))
-    # Other conflicts: of the values for one of the item, that in most places stays (of equals the item's own, then
-    # the least); windows with another one are dropped. Rare, so only chains with a conflict do the work.
-    ranked = F.array_sort(F.transform("slots", lambda s: F.struct(
-        s["x"].alias("x"), (-F.size(F.filter("placed", lambda p: (p["x"] == s["x"]) & (p["y"] == s["y"])))).alias("places"), (s["x"] != s["y"]).alias("other"), s["y"].alias("y"),
-    )))
-    conflict = F.size(F.array_distinct(F.transform("slots", lambda s: s["x"]))) < F.size("slots")
-    agreed = agreed.withColumn("ranked", F.when(conflict, ranked))
-    lost = F.filter("ranked", lambda r, i: (i > 0) & (F.get("ranked", i - 1)["x"] == r["x"]))
-    agreed = agreed.withColumn("lost", lost)
-    held = F.filter("windows", lambda w: ~F.exists("lost", lambda r: F.exists(w["slots"], lambda s: (s["x"] == r["x"]) & (s["y"] == r["y"]))))
-    agreed = agreed.withColumn("windows", F.when(F.col("lost").isNull(), F.col("windows")).otherwise(held)).where(F.size("windows") > 0)
-    return agreed.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.transform("windows", lambda w: w["pos"]))))).cast("long").alias("covered"), F.first("n_windows").cast("long").alias("n_windows"),
-        F.min(F.exists("windows", lambda w: F.exists(w["slots"], lambda s: s["x"] != s["y"]))).alias("reworded"),
-    ).where(F.col("covered") >= F.greatest(F.lit(1), F.ceil(F.col("n_windows") * cover)))
+    broken = placed.groupBy(*chain, "x").agg(F.bool_or(F.col("x") == F.col("y")).alias("kept"), F.bool_or((F.col("kind") == 1) & (F.col("x") != F.col("y"))).alias("changed"))
+    broken = broken.where("kept and changed").select(*chain).distinct()
+    # Other conflicts: of the values for one of the item, that in most places stays (of equals the item's own, then the least); windows
+    # with another one are dropped.
+    best = Window.partitionBy(*chain, "x").orderBy(F.desc("places"), F.col("x") != F.col("y"), "y")
+    losing = placed.groupBy(*chain, "x", "y").agg(F.count("*").alias("places")).withColumn("nth", F.row_number().over(best)).where("nth > 1").select(*chain, "x", "y")
+    lost = each.join(losing, [*chain, "x", "y"], "left_semi").select(*chain, "pos", "slots").distinct()
+    held = pairs.join(broken, chain, "left_anti").join(lost, [*chain, "pos", "slots"], "left_anti")
+    covered = held.select("doc_id", "item_id", "pos", "n_windows").unionByName(free).distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("covered"), F.first("n_windows").cast("long").alias("n_windows"))
+    covered = covered.where(F.col("covered") >= F.greatest(F.lit(1), F.ceil(F.col("n_windows") * cover)))
+    reworded = held.groupBy(*chain).agg(F.bool_or(F.exists("slots", lambda s: s["x"] != s["y"])).alias("reworded")).groupBy("doc_id", "item_id").agg(F.min("reworded").alias("reworded"))
+    return covered.join(reworded, ["doc_id", "item_id"], "left").withColumn("reworded", F.coalesce("reworded", F.lit(False)))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, n: int = 5, cover: float = 0.5) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import time
 
 from lectern.llm import decontamination as D
 
@@ -34,8 +35,8 @@ def posted(words, size):
         template = tuple((k,) if k else x for x, k, _ in w)
         third = tuple((k,) if k else x for x, _, k in w)
         kinds = [k for _, k, _ in w]
-        yield i, plain, kinds
-        if template != plain:
+        yield i, plain, kinds if kinds.count(0) >= 2 else [0] * size
+        if template != plain and sum(1 for _, k, _ in w if not k) >= 2:
             yield i, template, kinds
         if size == N and third not in (template, plain) and sum(1 for _, _, k in w if not k) >= 2:
             yield i, third, [k for _, _, k in w]
@@ -51,7 +52,12 @@ def leak(doc, item):
     for at, form, _ in posted(y, size):
         own[form].add(at)
     chains = collections.defaultdict(set)
+    times = collections.Counter(form for _, form, _ in posted(x, size))
+    free = set()
     for pos, form, kinds in posted(x, size):
+        if times[form] > 1 and not any(kinds):
+            free |= {pos} if own[form] else set()
+            continue
         for at in own[form]:
             slots = tuple((x[pos + i][0], y[at + i][0], k, pos + i) for i, k in enumerate(kinds) if k)
             chains[at - pos].add((pos, slots))
@@ -69,14 +75,15 @@ def leak(doc, item):
         if any(len(v) > 1 for v in by.values()):
             for a, v in by.items():
                 ranked = sorted((-sum(1 for s in placed if s[:2] == (a, b)), a != b, b) for b, _ in v)
-                lost |= {(a, b) for _, _, b in ranked[1:]}
+                lost |= {(a, b) for _, _, b in ranked if b != ranked[0][2]}
         held = [(pos, slots) for pos, slots in windows if not any(s[:2] in lost for s in slots)]
         if held:
             covered |= {pos for pos, _ in held}
             reworded.append(any(s[0] != s[1] for _, slots in held for s in slots))
+    covered |= free
     total = len(x) - size + 1
     need = max(1, -(-total * 50 // 100))
-    return (len(covered), total, min(reworded)) if len(covered) >= need else None
+    return (len(covered), total, min(reworded, default=False)) if len(covered) >= need else None
 
 
 def got(spark, docs, items):
@@ -96,7 +103,8 @@ def test_against_a_double_loop(spark):
         change = {w: rng.choice(words) for w in rng.sample(words, 3)}
         own = " ".join(change.get(w, w) for w in item.split(" ")) if rng.random() < 0.7 else item
         docs.append(f"{line(rng.randrange(0, 20))} {own.upper() if rng.random() < 0.1 else own} {line(rng.randrange(0, 20))}")
-    docs += ["", None, " \n ", *[i for i in items if i]]
+    items += ["red old ship red old ship went sold red old ship went sold took", "the the the the the the the the of"]
+    docs += ["", None, " \n ", *[i for i in items if i], "the " * 40 + "of", "red old ship went sold red old ship went sold"]
     want = {(d, i): found for (d, doc), (i, item) in itertools.product(enumerate(docs), enumerate(items)) if (found := leak(doc, item))}
     assert got(spark, docs, items) == want and len(want) > 200 and any(r for _, _, r in want.values())
 
@@ -116,3 +124,20 @@ def test_units_by_pattern(spark):
 def test_very_long_texts(spark):
     item = "In 1999 the river Avon carried 25 kg of sand past Bristol"
     assert got(spark, ["word " * 300_000 + item + " other" * 100_000], [item]) == {(0, 0): (8, 8, False)}
+
+
+def test_numbers_alone_are_no_evidence(spark):
+    """Runs of slots match by their own words only."""
+    table = " ".join(str(i) for i in range(20))
+    items = ["Add 12 35 48 91 22", " ".join(str(900 + 7 * i) for i in range(10)), "Ann Bob Kim Max Joe Eve Tom", table]
+    docs = ["The measured results were 1 2 3 4 5 in that order", table, "then came Ida Leo Uwe Pia Jan Kai Ben", "so 12 35 48 91 22 it is", "3 kg 4 kg 5 kg 6 kg"]
+    assert got(spark, docs, items) == {(1, 3): (16, 16, False), (3, 0): (1, 2, False)}
+
+
+def test_tables_of_numbers_take_seconds(spark):
+    rng = random.Random(4)
+    numbers = lambda n: " ".join(str(rng.randrange(10)) for _ in range(n))
+    item = "Sum up " + numbers(100)
+    began = time.time()
+    assert got(spark, [numbers(5000), "word " + numbers(5000), "1 " * 5000, item], [item, "1 " * 100]) == {(2, 1): (96, 96, False), (3, 0): (98, 98, False)}
+    assert time.time() - began < 60
