@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 LONG_TAIL = 20
+PARTS = 32
 
 
 def stats(books: DataFrame) -> DataFrame:
@@ -36,12 +38,17 @@ def breakdown(rows: DataFrame, label: Column, key: Column | None = None, by_labe
     those past it in order (largest first, or labels from the last) are one, Others."""
     groups = rows.select((label if key is None else key).alias("key"), label.alias("label")).groupBy("key", "label").agg(F.count("*").alias("count"))
     order = [F.col("label").desc_nulls_last(), "key"] if by_label else [F.desc("count"), F.col("label").asc_nulls_last(), "key"]
-    # The first in order, and the rest as the total less those: a bounded sort, and no window over all groups.
-    top = groups.orderBy(*order).limit(most)
-    one = groups.agg(F.sum("count").alias("total"), F.count("*").alias("groups")).join(top.agg(F.sum("count").alias("held"), F.count("*").alias("shown")))
-    rest = one.where("groups > shown").select(F.lit("Others").alias("label"), (F.col("total") - F.col("held")).alias("count"))
-    total = F.broadcast(one.select("total"))  # one row
-    return top.select("label", "count").unionByName(rest).join(total).select("label", "count", F.round(F.col("count") * 100.0 / F.col("total"), 4).alias("percentage"))
+    # Groups are made once. Each of PARTS parts keeps its first ones and a sum of its rest; what is then ranked together is
+    # a bounded number of rows.
+    part = F.pmod(F.xxhash64("key", "label"), F.lit(PARTS))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    few = groups.withColumn("part", part).withColumn("slot", F.least(nth, F.lit(most + 1)))
+    few = few.groupBy("part", "slot").agg(F.first("key").alias("key"), F.first("label").alias("label"), F.sum("count").alias("count"), (F.col("slot") > most).alias("rest"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rest", *order))
+    slots = few.withColumn("slot", F.when(F.col("rest"), most + 1).otherwise(F.least(place, F.lit(most + 1))))
+    out = slots.groupBy("slot").agg(F.when(F.first("slot") > most, "Others").otherwise(F.first("label")).alias("label"), F.sum("count").alias("count"))
+    total = F.sum("count").over(Window.partitionBy(F.lit(0)))
+    return out.select("label", "count", F.round(F.col("count") * 100.0 / total, 4).alias("percentage"))
 
 
 def finished_since(books: DataFrame, progress: DataFrame, start: Column) -> DataFrame:

@@ -1,15 +1,15 @@
-"""Full-text search: tokens, postings, ranking; fuzzy correction."""
+"""Full-text search: tokens, postings, substrings, snippets, stated names. Ranked search reads a stored index (search_index)."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lectern.functions.codes import ascii_lower
+from lectern.operators.names import corrected as nearly
+from lectern.operators.names import let
 
 K1, B = 1.2, 0.75
 #: Letters with marks in the Latin ranges, and what they are without.
@@ -46,23 +46,6 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.groupBy(key, "term").agg(F.count("*").alias("tf")).join(lengths, key)
 
 
-def match(docs: DataFrame, key: str, text: str, words: list[str], prefix: bool = False) -> DataFrame:
-    """(key, score): docs that hold every word (or a term that starts with each), by BM25. Only terms of the
-    query leave the scan; corpus figures are two small aggregates."""
-    scanned = docs.select(key, tokens(F.col(text)).alias("t"))
-    rows = scanned.select(key, F.size("t").alias("length"), *(
-        F.size(F.filter("t", (lambda w: lambda x: x.startswith(w) if prefix else x == w)(w))).alias(f"tf{i}") for i, w in enumerate(words)))
-    # The corpus figures and the words' frequencies are one row, of one pass; the hits are a second one.
-    both = rows.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
-    score = F.lit(0.0)
-    for i in range(len(words)):
-        idf = F.log((F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    every = " AND ".join(f"tf{i} > 0" for i in range(len(words)))
-    return rows.where(every).join(F.broadcast(both)).select(key, score.alias("score"))
-
-
 def substring_match(docs: DataFrame, columns: list[str], phrase: str) -> DataFrame:
     """docs where a column holds the phrase, in any case of letters; phrases under 4 bytes match nothing."""
     if len(phrase.encode()) < 4:
@@ -74,69 +57,31 @@ def substring_match(docs: DataFrame, columns: list[str], phrase: str) -> DataFra
 
 
 def snippet(text: Column, words: list[str], most: int = 16) -> Column:
-    """`most` tokens around the first that is one of the words, these between [match] and [/match], dots where text is left out."""
-    t = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    hit = lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).isin(words)
-    at = F.array_position(F.transform(t, lambda x: F.coalesce(hit(x), F.lit(False))), True)
-    first = F.greatest(F.lit(1), F.least(at - most // 2, F.size(t) - most + 1)).cast("int")
-    shown = F.transform(F.slice(t, first, F.lit(most)), lambda x: F.when(hit(x), F.concat(F.lit("[match]"), x, F.lit("[/match]"))).otherwise(x))
-    dots = lambda some: F.when(some, "…").otherwise("")
-    return F.when(at > 0, F.concat(dots(first > 1), F.array_join(shown, " "), dots(first + most <= F.size(t))))
-
-
-def search(docs: DataFrame, key: str, columns: list[str], title: str, words: list[str], phrase: str, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """A page of docs (key, score, fuzzy) that hold every word in the columns together, best first, then by title in any ASCII case, then
-    by key; where that page is empty, those that hold the phrase. 50 rows unless asked, 500 at most."""
-    most = 50 if limit is None else min(500, max(1, limit))
-    rows = docs.withColumn("all_columns", F.concat_ws(" ", *columns))
-    hits = match(rows, key, "all_columns", words).join(docs.select(key, ascii_lower(F.col(title)).alias("by")), key)
-    page = hits.orderBy(F.desc(F.round("score", 9)), "by", key).offset(offset).limit(most).select(key, "score", F.lit(False).alias("fuzzy"))
-    if page.limit(1).count():
-        return page
-    return substring_match(docs, columns, phrase).orderBy(ascii_lower(F.col(title)), key).limit(most).select(key, F.lit(0.0).alias("score"), F.lit(True).alias("fuzzy"))
+    """`most` tokens around the first that is one of the words, these between [match] and [/match], dots where text is left out. The
+    first one is found in the text as it is; of its tokens only those shown are looked at."""
+    some = "|".join(re.escape(w) for w in words)
+    tokens_of = lambda x: F.filter(F.split(x, r"\s+"), lambda t: t != "")
+    place = F.regexp_instr(text, F.lit(rf"(?iu)(?<!\S)[^\p{{L}}\p{{N}}\s]*(?:{some})[^\p{{L}}\p{{N}}\s]*(?!\S)"))
+    dots = lambda is_some: F.when(is_some, "…").otherwise("")
+    hit = lambda x: x.rlike(rf"(?iu)^[^\p{{L}}\p{{N}}]*(?:{some})[^\p{{L}}\p{{N}}]*$")
+
+    def shown(f: Column) -> Column:
+        near = F.transform(F.slice(f["t"], f["first"], F.lit(most)), lambda x: F.when(hit(x), F.concat(F.lit("[match]"), x, F.lit("[/match]"))).otherwise(x))
+        return F.concat(dots(f["first"] > 1), F.array_join(near, " "), dots(f["first"] + most <= F.size(f["t"])))
+
+    def around(f: Column) -> Column:
+        first = F.greatest(F.lit(1), F.least(f["at"] - most // 2, F.size(f["t"]) - most + 1)).cast("int")
+        return let(F.struct(f["t"].alias("t"), first.alias("first")), shown)
+
+    both = lambda p: F.struct(tokens_of(text).alias("t"), (F.size(tokens_of(F.substring(text, F.lit(1), p - 1))) + 1).alias("at"))
+    return let(place, lambda p: F.when(p > 0, let(both(p), around)))
 
 
 def corrected(rows: DataFrame, key: str, text: str, names: list[str], most: float = 0.3) -> DataFrame:
-    """rows with capitalised words that are nearly a name (by Levenshtein distance over length) put right. names
-    is a dictionary the caller bounds; words are distinct before they are compared."""
-    single = F.array(*[F.lit(n) for n in names if " " not in n])
-    words = rows.select(key, F.explode(F.array_distinct(F.filter(F.split(text, r"[^\p{L}\p{N}']+"), lambda w: w.rlike(r"^\p{Lu}")))).alias("w"))
-    near = F.transform(single, lambda n, i: F.struct((F.levenshtein(F.col("w"), n) / F.greatest(F.char_length("w"), F.char_length(n))).alias("d"), i.alias("i"), n.alias("n")))
-    distinct = words.select("w").distinct().withColumn("best", F.array_min(near)).where((F.col("best.d") > 0) & (F.col("best.d") <= most)).select("w", F.col("best.n").alias("name"))
-    fixes = words.join(distinct, "w").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("w", "name"))).alias("fixes"))
-    out = F.aggregate(F.coalesce("fixes", F.array().cast("array<struct<w:string,name:string>>")), F.col(text), lambda s, f: F.regexp_replace(s, F.concat(F.lit(r"(?<![\p{L}\p{N}'])"), f["w"], F.lit(r"(?![\p{L}\p{N}'])")), f["name"]))
-    return rows.join(fixes, key, "left").withColumn(text, out).drop("fixes")
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def capitalised_runs(texts: pd.Series) -> pd.Series:
-    """Runs of capitalised words as names; a single one that begins a sentence is none."""
-    import re
-
-    def one(text: str | None) -> list[str]:
-        out, run, first = [], [], True
-        run_first = False
-        for m in re.finditer(r"[^\W\d_][\w'’]*|[.!?\n]", text or ""):
-            w = m.group()
-            if w in ".!?\n" or not w[0].isupper():
-                if run and not (len(run) == 1 and run_first):
-                    out.append(" ".join(run))
-                run, first = [], w in ".!?\n"
-                continue
-            if not run:
-                run_first = first
-            run.append(w)
-            first = False
-        if run and not (len(run) == 1 and run_first):
-            out.append(" ".join(run))
-        return out
-
-    return texts.map(one)
-
-
-def name_dictionary(docs: DataFrame, text: str, least: int = 3) -> DataFrame:
-    """(surface, freq) of names that occur `least` times or more."""
-    return docs.select(F.explode(capitalised_runs(F.col(text))).alias("surface")).groupBy("surface").agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
+    """rows with capitalised words that are nearly one of a few names put right (see names.corrected); of names alike near the first
+    counts."""
+    known = rows.sparkSession.createDataFrame([(n, -i) for i, n in enumerate(names)], "surface string, freq long")
+    return nearly(rows, key, text, known, most)
 
 
 def stated_names(text: Column) -> Column:

@@ -342,23 +342,6 @@ def resolved_transcripts(spark, d):
     return _read(spark, d, "documents").select("doc_id", F.coalesce(F.when(better.isNotNull(), F.col("source")), "text", F.lit("")).alias("said"))
 
 
-_BM = """t AS (SELECT page_id, url, list_filter(string_split_regex(lower(concat_ws(' ', url, html)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM pages),
-f AS (SELECT page_id, url, len(w) AS n, len(list_filter(w, lambda x: x = 'html')) AS a, len(list_filter(w, lambda x: x = 'the')) AS b FROM t), c AS (SELECT count(*) AS d, avg(n) AS m, count_if(a > 0) AS da, count_if(b > 0) AS db FROM f),
-i AS (SELECT *, CASE WHEN ln((d - da + 0.5) / (da + 0.5)) <= 0 THEN 1e-6 ELSE ln((d - da + 0.5) / (da + 0.5)) END AS ia, CASE WHEN ln((d - db + 0.5) / (db + 0.5)) <= 0 THEN 1e-6 ELSE ln((d - db + 0.5) / (db + 0.5)) END AS ib FROM c),
-s AS (SELECT page_id, lower(url) AS by_url, ia * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / m)) + ib * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / m)) AS score FROM f, i WHERE a > 0 AND b > 0) """
-
-
-@query("search_page", "WITH " + _BM + "SELECT page_id, round(score * 1e6, 6) AS score, false AS fuzzy FROM s ORDER BY round(score, 9) DESC, by_url, page_id LIMIT 500")
-def search_page(spark, d):
-    out = X.search(_read(spark, d, "pages"), "page_id", ["url", "html"], "url", ["html", "the"], "html the", limit=9999)
-    return out.withColumn("score", F.round(F.col("score") * 1e6, 6))
-
-
-@query("search_gated", "SELECT page_id, 0.0::DOUBLE AS score, true AS fuzzy FROM pages WHERE contains(lower(coalesce(url, '')), 'xampl') OR contains(lower(coalesce(html, '')), 'xampl') ORDER BY lower(url), page_id LIMIT 50")
-def search_gated(spark, d):
-    return X.search(_read(spark, d, "pages"), "page_id", ["url", "html"], "url", ["xampl"], "XAMPL")
-
-
 @query("snippets", """WITH t AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS t FROM documents),
 h AS (SELECT *, list_transform(t, lambda x: lower(regexp_replace(regexp_replace(x, '^[^\\p{L}\\p{N}]+', ''), '[^\\p{L}\\p{N}]+$', '')) IN ('the', 'der')) AS h FROM t), p AS (SELECT *, list_position(h, true) AS p0 FROM h),
 f AS (SELECT *, greatest(1, least(p0 - 8, len(t) - 15)) AS f FROM p WHERE p0 > 0)

@@ -31,30 +31,6 @@ _TOK = "list_filter(string_split_regex(lower(strip_accents({})), '[^\\p{{L}}\\p{
 _DOCS = f"WITH d AS (SELECT doc_id, {_TOK.format('text')} AS t FROM documents) "
 
 
-def _bm25(words: list[str], prefix: bool = False) -> str:
-    tf = ", ".join(f"len(list_filter(t, lambda x: {f'starts_with(x, {w!r})' if prefix else f'x = {w!r}'})) AS tf{i}" for i, w in enumerate(words))
-    df = ", ".join(f"count_if(tf{i} > 0) AS df{i}" for i in range(len(words)))
-    idf = "greatest(ln((n - df{0} + 0.5) / (df{0} + 0.5)), 0)"
-    part = " + ".join(f"CASE WHEN {idf.format(i)} <= 0 THEN 1e-6 ELSE {idf.format(i)} END * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * length / mean))" for i in range(len(words)))
-    every = " AND ".join(f"tf{i} > 0" for i in range(len(words)))
-    return _DOCS + f", c AS (SELECT doc_id, len(t) AS length, {tf} FROM d), f AS (SELECT count(*) AS n, avg(length) AS mean, {df} FROM c) SELECT doc_id, round({part}, 6) AS score FROM c, f WHERE {every}"
-
-
-def _search(name: str, words: list[str], prefix: bool = False):
-    query(name, _bm25(words, prefix))(lambda spark, d: X.match(_docs(spark, d), "doc_id", "text", words, prefix).select("doc_id", F.round("score", 6).alias("score")))
-
-
-_search("search_exact", X.quoted('"shall" software'))
-_search("search_common", ["the", "and"])
-_search("search_prefix", ["lic", "th"], True)
-
-
-@query("search_top", "SELECT * FROM (" + _bm25(["the", "of"]) + ") ORDER BY score DESC, doc_id LIMIT 50")
-def search_top(spark, d):
-    rows = X.match(_docs(spark, d), "doc_id", "text", ["the", "of"]).select("doc_id", F.round("score", 6).alias("score"))
-    return rows.orderBy(F.desc("score"), "doc_id").limit(50)
-
-
 @query("postings", _DOCS + "SELECT doc_id, term, count(*) AS tf, CAST(any_value(length) AS BIGINT) AS length FROM (SELECT doc_id, unnest(t) AS term, len(t) AS length FROM d) GROUP BY doc_id, term")
 def postings(spark, d):
     return X.postings(_docs(spark, d), "doc_id", "text")
@@ -93,16 +69,6 @@ def learned_lookup(spark, d):
     return books.join(latest, ["title", "author"]).select("book_id", "asin")
 
 
-@query("name_dictionary")
-def name_dictionary(spark, d):
-    return X.name_dictionary(_docs(spark, d), "text")
-
-
-@query("typo_correction")
-def typo_correction(spark, d):
-    return X.corrected(frame(spark, d, "segments").select("book_id", "idx", F.col("said").alias("text")).withColumn("key", F.xxhash64("book_id", "idx")), "key", "text", ["Anhation", "Thion", "Ertion"]).select("book_id", "idx", "text")
-
-
 @query("stated_names")
 def stated_names(spark, d):
     return _docs(spark, d).select("doc_id", F.explode(X.stated_names(F.col("text"))).alias("n")).select("doc_id", "n.*")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.scalar import split_values
 
@@ -31,10 +37,34 @@ def books_of(files: DataFrame) -> DataFrame:
     return many.unionByName(single)
 
 
+HEAD = 4096
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path there."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri)) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
 def content_key(files: DataFrame) -> DataFrame:
-    """files with a key of size, time of change and the first 4096 bytes (from a `content` column)."""
-    head = F.substring(F.col("content"), 1, 4096)
-    return files.withColumn("content_key", F.sha2(F.concat(F.col("size").cast("string").cast("binary"), F.unix_micros("modified").cast("string").cast("binary"), head), 256))
+    """files (path, size, modified) with a key of size, time of change and the first 4096 bytes. A task opens each file and reads
+    these bytes and no more, whatever its size; one that can't be read has no key."""
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for uri in batch.column(batch.schema.names.index("path")).to_pylist():
+                try:
+                    where, path = opened(uri)
+                    with where.open_input_file(path) as file:
+                        out.append(file.read(HEAD))
+                except OSError:
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "_head"])
+
+    schema = T.StructType([*files.schema.fields, T.StructField("_head", T.BinaryType())])
+    read = files.mapInArrow(heads, schema)
+    key = F.sha2(F.concat(F.col("size").cast("string").cast("binary"), F.unix_micros("modified").cast("string").cast("binary"), F.col("_head")), 256)
+    return read.withColumn("content_key", key).drop("_head")
 
 
 def moved(known: DataFrame, seen: DataFrame) -> DataFrame:
