@@ -26,7 +26,7 @@ SHARD, CAP = 1 << 15, 1 << 16
 GROUP = 64
 #: Places per key in a level.
 GAMMA = 2
-BLOCK = 4096
+BLOCK = 1 << 14
 #: Arrays summed at each node of the tree.
 ARITY = 64
 _P, _Q, _SEED, _LEVEL = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9E3779B97F4A7C15))
@@ -188,7 +188,7 @@ class Reader:
 class Tally:
     """Counts by slot in a task: arrays of BLOCK slots, handed on when they are too many."""
 
-    def __init__(self, most: int = 2048):
+    def __init__(self, most: int = 512):
         self.blocks: dict[int, np.ndarray] = {}
         self.most = most
 

@@ -2,8 +2,8 @@
 
 Words are lower-cased (A-Z) runs without blanks inside pieces of a text between punctuation and line ends. Level by
 level: texts are sequences of slots, one for each frequent phrase of k words, and two slots side by side are a phrase of
-k + 1 words. Such a pair is a candidate only if both its phrases are frequent (Apriori) and so is the sum of all that fall
-into its bin of a fixed-size array of hashed counts made one pass before. Candidates get a minimal perfect hash with their
+k + 1 words. Such a pair is a candidate only if both its phrases are frequent (Apriori) and so are the sums of all that fall
+into its two bins of a fixed-size array of hashed counts made one pass before. Candidates get a minimal perfect hash with their
 keys stored (perfect_hash); mappers look up the pairs, check the stored key, add ones into numpy arrays by slot, and
 a tree sums the arrays. What reaches `least` is frequent. A cut's two sides are phrases of lower levels, read by slot.
 
@@ -34,8 +34,9 @@ from lectern.llm import arrow_text as A
 from lectern.llm import perfect_hash as H
 from lectern.llm.shared import discard, written
 
-#: Bins of hashed pairs: 2 ** BINS counts, of which one bit each goes to the tasks.
+#: Bins of hashed pairs: 2 ** BINS counts, of which one bit each goes to the tasks; a pair has one in each half.
 BINS = 22
+BUCKETS = 64
 #: Bytes of text, and slots, looked at together.
 TEXT, SLOTS = 8 << 20, 4 << 20
 BREAK = np.zeros(256, bool)
@@ -131,13 +132,18 @@ def pairs_of(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return at, p, q, H.pair_hash(p, q)
 
 
-def bin_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BINS)).astype(np.int64)
+def bins_of(h: np.ndarray) -> Iterator[np.ndarray]:
+    """The two bins of each hash, one in each half of the array."""
+    half = BINS - 1
+    yield (h >> np.uint64(64 - half)).astype(np.int64)
+    yield (h & np.uint64((1 << half) - 1)).astype(np.int64) + (1 << half)
 
 
 def passing(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    b = bin_of(h)
-    return (bits[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)
+    out = np.ones(len(h), bool)
+    for b in bins_of(h):
+        out &= (bits[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
 def shortened(s: np.ndarray) -> np.ndarray:
@@ -164,7 +170,8 @@ class Pass:
     def sequence(self, s: np.ndarray) -> Iterator[pa.RecordBatch]:
         s = shortened(s)
         if self.bins is not None:
-            np.add.at(self.bins, bin_of(pairs_of(s)[3]), 1)
+            for b in bins_of(pairs_of(s)[3]):
+                np.add.at(self.bins, b, 1)
         if len(s):
             yield self.row("sequence", 0, s)
 
@@ -222,20 +229,63 @@ def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
+def distinct_pairs(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((q, p))
+    p, q = p[order], q[order]
+    new = np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])]) if len(p) else np.zeros(0, bool)
+    return p[new], q[new]
+
+
+PAIRS = "id int, part int, p binary, q binary"
+
+
 def candidates(sequence: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Distinct pairs (p, q) of slots side by side in bins that hold enough."""
+    """Distinct pairs (p, q) of slots side by side in bins that hold enough. A task hands them on as arrays, one for each of
+    BUCKETS buckets of hashes; these are united up a tree, and a row each only then."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        part = context.partitionId() if context else 0
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for s in sequences(batches):
             _, p, q, h = pairs_of(s)
             good = passing(bits, h)
-            p, q = p[good], q[good]
-            ids, place = np.unique(np.concatenate([p, q]), return_inverse=True)
-            flat = np.unique(place[: len(p)] * len(ids) + place[len(p) :])
-            if len(flat):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[flat // len(ids)]), pa.array(ids[flat % len(ids)])], ["p", "q"])
-
-    return sequence.mapInArrow(run, "p bigint, q bigint").distinct()
+            held = tuple(np.concatenate(x) for x in zip(held, distinct_pairs(p[good], q[good]), strict=True))
+            if len(held[0]) > SLOTS:
+                held = distinct_pairs(*held)
+                if len(held[0]) > SLOTS // 2:
+                    yield from dealt(*held, part)
+                    held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield from dealt(*distinct_pairs(*held), part)
+
+    def dealt(p: np.ndarray, q: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
+        bucket = (H.pair_hash(p, q) >> np.uint64(24)).astype(np.int64) % BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        bounds = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            own = order[bounds[b] : bounds[b + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([p[own].tobytes()], pa.binary()), pa.array([q[own].tobytes()], pa.binary())], ["id", "part", "p", "q"])
+
+    def read(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+        return np.concatenate([np.frombuffer(x, np.int64) for x in column.to_pylist()])
+
+    def unite(group: pa.Table) -> pa.Table:
+        p, q = distinct_pairs(read(group.column("p")), read(group.column("q")))
+        return pa.table({"id": group.column("id").slice(0, 1), "part": group.column("part").slice(0, 1), "p": pa.array([p.tobytes()], pa.binary()), "q": pa.array([q.tobytes()], pa.binary())})
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(read(A.column(b.slice(i, 1), c))) for c in "pq"], ["p", "q"])
+
+    arrays = written(sequence.mapInArrow(run, PAIRS), "pairs")
+    most = arrays.agg(F.max("part")).first()[0] or 0
+    united = arrays
+    while True:
+        united = united.withColumn("part", F.floor(F.col("part") / H.ARITY).cast("int")).groupBy("id", "part").applyInArrow(unite, PAIRS)
+        most //= H.ARITY
+        if not most:
+            return united.mapInArrow(unpack, "p bigint, q bigint")
 
 
 def next_pass(sequence: DataFrame, bits: np.ndarray, uri: str, shards: int, more: bool) -> DataFrame:
