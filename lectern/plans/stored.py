@@ -152,16 +152,28 @@ def saved_query_pages(spark, d):
     return Q.executed(_rows(spark, d), _saved(spark, d)).select("query_id", "place", "book_id", "title", "author", "series")
 
 
+#: Texts that hold names, from the parts' own words; and what was said of them, with slips.
+_CAP = "concat(upper(substr({0}, 1, 1)), lower(substr({0}, 2)))"
+_ADJ, _NOUN = (_CAP.format(f"split_part(p_name, ' ', {i})") for i in (1, 2))
+_BODY = f"concat('the ', {_NOUN}, ' was ', {_ADJ}, ', or the ', {_CAP.format('p_type')}, ' ', {_NOUN}, ' of Old ', {_ADJ}, chr(10), {_NOUN}, ' fell. Then ', {_CAP.format('p_type')}, chr(39), 's too')"
+_BODIES = f"SELECT p_partkey, {_BODY} AS text FROM part"
+_SLIP = f"concat('so ', replace({_NOUN}, CASE p_size % 3 WHEN 0 THEN 'o' WHEN 1 THEN 'i' ELSE 'e' END, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'oo' END), ' (', replace({_CAP.format('p_type')}, 'M', 'N'), ') met ', lower(p_name), CASE WHEN p_size % 5 = 0 THEN ' Of OLD' ELSE '' END)"
+_SAID = f"SELECT CAST(p_partkey // 6 AS BIGINT) AS book_id, CAST(p_partkey % 6 AS BIGINT) AS idx, CASE WHEN p_size <> 9 THEN {_SLIP} END AS text FROM part"
 #: Capitalised runs and their counts, as DuckDB reads them.
-_RUNS = """w AS (SELECT regexp_extract_all(coalesce(text, ''), '\\p{L}[\\p{L}\\p{N}_''’]*|[.!?\\n]') AS w FROM documents),
+_RUN = "SELECT regexp_extract_all(coalesce(text, ''), '\\p{L}[\\p{L}\\p{N}_''’]*|[.!?\\n]') AS w FROM "
+_RUNS = f"""bodies AS ({_BODIES}), w AS ({_RUN} bodies UNION ALL {_RUN} documents),
 u AS (SELECT w, list_transform(w, lambda x: upper(x[1]) = x[1] AND lower(x[1]) <> x[1]) AS u FROM w),
 s AS (SELECT w, list_filter(range(1, len(w) + 1), lambda i: u[i] AND (i = 1 OR NOT u[i - 1])) AS a, list_filter(range(1, len(w) + 1), lambda i: u[i] AND (i = len(w) OR NOT u[i + 1])) AS b FROM u),
 e AS (SELECT w, unnest(a) AS a, unnest(b) AS b FROM s),
 names AS (SELECT array_to_string(w[a:b], ' ') AS surface, count(*) AS freq FROM e WHERE b > a OR (a > 1 AND w[a - 1] NOT IN ('.', '!', '?', chr(10))) GROUP BY 1 HAVING count(*) >= 3)"""
 
 
+def _of_part(spark, d, sql):
+    return spark.sql(sql.replace("FROM part", "FROM {part}").replace("p_partkey // 6", "p_partkey div 6"), part=_read(spark, d, "part"))
+
+
 def _names(spark, d):
-    return names.name_dictionary(_read(spark, d, "documents"), "text")
+    return names.name_dictionary(_of_part(spark, d, _BODIES).select("text").unionByName(_read(spark, d, "documents").select("text")), "text")
 
 
 @query("name_dictionary", f"WITH {_RUNS} SELECT surface, freq FROM names")
@@ -173,13 +185,13 @@ _TOKENS = "[\\p{L}\\p{N}_''’]+|[^\\p{L}\\p{N}_''’]+"
 
 
 @query("typo_correction", f"""WITH {_RUNS}, k AS (SELECT surface, freq, length(surface) AS n FROM names WHERE NOT contains(surface, ' ')),
-t AS (SELECT conv_id AS book_id, turn AS idx, regexp_extract_all(coalesce(text, ''), '{_TOKENS}') AS t FROM conversations),
+t AS (SELECT book_id, idx, regexp_extract_all(coalesce(text, ''), '{_TOKENS}') AS t FROM ({_SAID})),
 x AS (SELECT DISTINCT unnest(t) AS w FROM t), y AS (SELECT w FROM x WHERE regexp_matches(w, '^\\p{{Lu}}') AND w NOT IN (SELECT surface FROM k)),
 p AS (SELECT w, arg_min(surface, (levenshtein(w, surface) / greatest(length(w), n), -freq, surface)) AS name FROM y, k WHERE levenshtein(w, surface) <= 0.3 * greatest(length(w), n) + 1e-9 GROUP BY w),
-o AS (SELECT book_id, idx, i, t[i] AS w FROM t, unnest(range(1, len(t) + 1)) AS r(i))
-SELECT t.book_id, t.idx, coalesce((SELECT string_agg(coalesce(p.name, o.w), '' ORDER BY o.i) FROM o LEFT JOIN p USING (w) WHERE o.book_id = t.book_id AND o.idx = t.idx), '') AS text FROM t""")
+o AS (SELECT book_id, idx, i, t[i] AS w FROM t, unnest(range(1, len(t) + 1)) AS r(i)), f AS (SELECT book_id, idx, string_agg(coalesce(p.name, o.w), '' ORDER BY o.i) AS text FROM o LEFT JOIN p USING (w) GROUP BY 1, 2)
+SELECT t.book_id, t.idx, coalesce(f.text, '') AS text FROM t LEFT JOIN f USING (book_id, idx)""")
 def typo_correction(spark, d):
-    rows = frame(spark, d, "segments").select("book_id", "idx", F.coalesce("said", F.lit("")).alias("text")).withColumn("key", F.struct("book_id", "idx"))
+    rows = _of_part(spark, d, _SAID).select("book_id", "idx", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.struct("book_id", "idx"))
     return names.corrected(rows, "key", "text", _names(spark, d)).select("book_id", "idx", "text")
 
 
@@ -187,16 +199,16 @@ _KINDS = "SELECT CASE freq % 4 WHEN 0 THEN 'phrase' WHEN 1 THEN 'publisher' WHEN
 
 
 @query("names_said", f"""WITH {_RUNS}, k AS ({_KINDS.format('names')}),
-t AS (SELECT conv_id AS book_id, turn AS idx, turn * 5000 AS s, (turn + 1) * 5000 AS e, lower(coalesce(text, '')) AS low, max((turn + 1) * 5000) OVER (PARTITION BY conv_id) AS total FROM conversations),
+t AS (SELECT book_id, idx, idx * 5000 AS s, (idx + 1) * 5000 AS e, lower(coalesce(text, '')) AS low, max((idx + 1) * 5000) OVER (PARTITION BY book_id) AS total FROM ({_SAID})),
 q AS (SELECT *, 'head' AS place FROM t WHERE s < 10000 UNION ALL SELECT *, 'tail' FROM t WHERE e > total - 5000),
 o AS (SELECT *, coalesce(sum(length(low) + 1) OVER (PARTITION BY book_id, place ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM q),
 j AS (SELECT book_id, place, string_agg(low, ' ' ORDER BY idx) AS whole FROM q GROUP BY 1, 2),
 h AS (SELECT book_id, place, kind, rank, name, instr(whole, lower(name)) - 1 AS a0 FROM j, k WHERE instr(whole, lower(name)) > 0),
 b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY book_id, place ORDER BY rank, a0, name) = 1)
 SELECT b.book_id, b.place, kind, name, max(s) FILTER (o.f <= a0) AS start_ms, CASE WHEN max(e) FILTER (o.f <= a0 + length(name)) <= max(s) FILTER (o.f <= a0) THEN max(s) FILTER (o.f <= a0) + 1000 ELSE max(e) FILTER (o.f <= a0 + length(name)) END AS end_ms
-FROM b JOIN o ON o.book_id = b.book_id AND o.place = b.place GROUP BY 1, 2, 3, 4""")
+FROM b JOIN o ON o.book_id = b.book_id AND o.place = b.place GROUP BY 1, 2, 3, 4, a0""")
 def names_said(spark, d):
-    s = frame(spark, d, "segments").select("book_id", "idx", (F.col("idx") * 5000).alias("start_ms"), ((F.col("idx") + 1) * 5000).alias("end_ms"), F.col("said").alias("text"))
+    s = _of_part(spark, d, _SAID).select("book_id", "idx", (F.col("idx") * 5000).alias("start_ms"), ((F.col("idx") + 1) * 5000).alias("end_ms"), "text")
     known = spark.sql(_KINDS.format("{n}"), n=_names(spark, d))
     return names.stated_names(s, known, 10_000, 5_000)
 
@@ -228,7 +240,7 @@ _STATE = "SELECT 'order' AS target_kind, CAST(o_orderkey AS BIGINT) AS target_id
 _OPS = """SELECT o_orderkey * 2 + i AS op_id, CASE WHEN o_custkey % 13 <> 0 THEN concat('c', CAST(o_custkey AS VARCHAR(9))) END AS batch_id, 'order' AS target_kind, CAST(o_orderkey AS BIGINT) AS target_id, 'status' AS field,
 CASE WHEN i = 0 THEN CASE WHEN o_custkey % 7 = 0 AND o_orderkey % 3 = 0 THEN 'other' WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END ELSE 'one' END AS before, CASE WHEN i = 0 THEN 'one' ELSE 'two' END AS after,
 CASE WHEN o_orderkey % 4 = 0 THEN 'done' ELSE 'pending' END AS progress FROM orders, (SELECT 0 AS i UNION ALL SELECT 1 AS i) AS x"""
-_REPLAY = f"""WITH s AS ({_STATE}), o AS (SELECT *, coalesce(concat('b', batch_id), concat('o', CAST(op_id AS VARCHAR))) AS batch FROM ({_OPS})),
+_REPLAY = f"""WITH s AS ({_STATE}), o AS (SELECT *, CASE WHEN batch_id IS NULL THEN concat('o', CAST(op_id AS VARCHAR)) ELSE concat('b', batch_id) END AS batch FROM ({_OPS})),
 p AS (SELECT o.*, op_id % 2 AS i, s.value FROM o LEFT JOIN s USING (target_kind, target_id, field) WHERE progress = 'pending'),
 bad AS (SELECT target_id FROM p WHERE i = 0 AND before IS DISTINCT FROM value AND value IS DISTINCT FROM 'one'),
 f1 AS (SELECT DISTINCT batch FROM p WHERE i = 0 AND target_id IN (SELECT target_id FROM bad)),
@@ -308,28 +320,28 @@ def cleanup_kept(spark, d):
     return count("journal").unionByName(count("nearby")).unionByName(count("files"))
 
 
-_MATCHES = """SELECT l_orderkey * 10 + l_linenumber AS row_id, l_orderkey AS book_id, l_orderkey * 10 + l_linenumber AS file_id, 'intro' AS kind,
+_MATCHES = """SELECT l_partkey * 100000000 + l_orderkey * 10 + l_linenumber AS row_id, l_orderkey AS book_id, l_partkey * 100000000 + l_orderkey * 10 + l_linenumber AS file_id, 'intro' AS kind,
 CASE l_linenumber % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'fingerprint_full' WHEN 2 THEN 'fingerprint_bookend' ELSE 'transcript' END AS method, 1 - l_discount * 2 AS confidence,
 CASE l_returnflag WHEN 'A' THEN 'applied' WHEN 'N' THEN 'candidate' ELSE 'rejected' END AS status, CAST(l_suppkey % 7 AS BIGINT) * 1000 AS start_ms, CAST(l_suppkey % 7 + 5 AS BIGINT) * 1000 AS end_ms,
 CASE WHEN l_linenumber = 1 THEN CAST(500 AS BIGINT) END AS padding_ms FROM lineitem"""
-_CUT = f"""WITH m AS ({_MATCHES}), k AS (SELECT *, greatest(0, end_ms - start_ms - coalesce(padding_ms, 0)) AS cut FROM m WHERE status = 'candidate' AND ((method = 'fingerprint_full' AND confidence >= 0.85) OR (method = 'fingerprint_bookend' AND confidence >= 0.8)))"""
+_CUT = f"""WITH m AS (SELECT *, status = 'candidate' AND ((method = 'fingerprint_full' AND confidence >= 0.85) OR (method = 'fingerprint_bookend' AND confidence >= 0.8)) AS ready FROM ({_MATCHES})), k AS (SELECT *, greatest(0, end_ms - start_ms - coalesce(padding_ms, 0)) AS cut FROM m WHERE ready)"""
 
 
 def _promoted(spark, d):
     lines, part = _read(spark, d, "lineitem"), _read(spark, d, "orders")
     matches = spark.sql(_MATCHES.replace("FROM lineitem", "FROM {l}"), l=lines)
-    chapters = lines.selectExpr("l_orderkey * 10 + l_linenumber AS file_id", "explode(array(0L, 1L, 2L)) AS idx").selectExpr("file_id", "idx", "idx * 9000 AS start_ms", "(idx + 1) * 9000 AS end_ms")
+    chapters = lines.selectExpr("l_partkey * 100000000 + l_orderkey * 10 + l_linenumber AS file_id", "explode(array(0L, 1L, 2L)) AS idx").selectExpr("file_id", "idx", "idx * 9000 AS start_ms", "(idx + 1) * 9000 AS end_ms")
     books = part.selectExpr("o_orderkey AS book_id", "CAST(o_totalprice AS BIGINT) AS duration_ms", "'candidate' AS audiologo_status")
     return cleanup.promoted(matches, chapters, books)
 
 
-@query("applied_matches", _CUT + " SELECT row_id, CASE WHEN row_id IN (SELECT row_id FROM k) THEN 'applied' ELSE status END AS status FROM m")
+@query("applied_matches", _CUT + " SELECT row_id, CASE WHEN ready THEN 'applied' ELSE status END AS status FROM m")
 def applied_matches(spark, d):
     return _promoted(spark, d)[0].select("row_id", "status")
 
 
 @query("applied_chapters", _CUT + """, c AS (SELECT file_id, i * 9000 AS s, (i + 1) * 9000 AS e, i FROM m, (SELECT CAST(unnest([0, 1, 2]) AS BIGINT) AS i))
-SELECT c.file_id, CAST(i AS BIGINT) AS idx, s - coalesce(CASE WHEN s >= k.end_ms THEN cut END, 0) AS start_ms, e - coalesce(CASE WHEN e >= k.end_ms THEN cut END, 0) AS end_ms FROM c LEFT JOIN k USING (file_id)""")
+SELECT file_id, i AS idx, CAST(s - coalesce((SELECT sum(cut) FROM k WHERE k.file_id = c.file_id AND c.s >= k.end_ms), 0) AS BIGINT) AS start_ms, CAST(e - coalesce((SELECT sum(cut) FROM k WHERE k.file_id = c.file_id AND c.e >= k.end_ms), 0) AS BIGINT) AS end_ms FROM c""")
 def applied_chapters(spark, d):
     return _promoted(spark, d)[1]
 
@@ -339,9 +351,9 @@ def applied_books(spark, d):
     return _promoted(spark, d)[2]
 
 
-@query("task_states", """WITH r AS (SELECT user_id AS task, ts AS at, event_id AS run_id, event_type NOT IN ('error', 'view', 'click') AS ok, event_type AS summary FROM events), t AS (SELECT CAST(c_custkey AS BIGINT) AS task, CAST(600 AS BIGINT) AS i FROM customer),
-g AS (SELECT task, max((at, run_id)) AS good FROM r WHERE ok GROUP BY 1),
-s AS (SELECT t.task, max(at) AS last_run_at, arg_max(ok, (at, run_id)) AS ok, arg_max(summary, (at, run_id)) AS last_summary, count_if(r.run_id IS NOT NULL AND NOT ok AND (good IS NULL OR (at, run_id) > good)) AS failures FROM t LEFT JOIN r USING (task) LEFT JOIN g USING (task) GROUP BY 1)
+@query("task_states", """WITH r AS (SELECT user_id AS task, ts AS t, event_id AS run_id, event_type NOT IN ('error', 'view', 'click') AS ok, event_type AS summary FROM events), k AS (SELECT CAST(c_custkey AS BIGINT) AS task, CAST(600 AS BIGINT) AS i FROM customer),
+g AS (SELECT task, max((t, run_id)) AS good FROM r WHERE ok GROUP BY 1),
+s AS (SELECT k.task, max(t) AS last_run_at, arg_max(ok, (t, run_id)) AS ok, arg_max(summary, (t, run_id)) AS last_summary, count_if(r.run_id IS NOT NULL AND NOT ok AND (good IS NULL OR (t, run_id) > good)) AS failures FROM k LEFT JOIN r USING (task) LEFT JOIN g USING (task) GROUP BY 1)
 SELECT task, last_run_at, CASE WHEN ok THEN 'ok' WHEN NOT ok THEN 'error' END AS last_status, last_summary, failures,
   last_run_at + to_seconds(CAST(CASE WHEN failures < 3 THEN 600 ELSE least(600 * pow(2, least(failures - 2, 20)), 86400) END AS BIGINT)) AS next_run_at FROM s""")
 def task_states(spark, d):
@@ -349,8 +361,8 @@ def task_states(spark, d):
     return tasks.states(runs, _read(spark, d, "customer").selectExpr("CAST(c_custkey AS BIGINT) AS task", "600L AS interval_s"))
 
 
-@query("task_islands", """WITH r AS (SELECT user_id AS task, ts AS at, event_id AS run_id, event_type <> 'error' AS ok FROM events), e AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY at, run_id) - row_number() OVER (PARTITION BY task, ok ORDER BY at, run_id) AS g FROM r)
-SELECT task, ok, min(at) AS first_at, max(at) AS last_at, count(*) AS runs FROM e GROUP BY task, ok, g""")
+@query("task_islands", """WITH r AS (SELECT user_id AS task, ts AS t, event_id AS run_id, event_type <> 'error' AS ok FROM events), e AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY t, run_id) - row_number() OVER (PARTITION BY task, ok ORDER BY t, run_id) AS g FROM r)
+SELECT task, ok, min(t) AS first_at, max(t) AS last_at, count(*) AS runs FROM e GROUP BY task, ok, g""")
 def task_islands(spark, d):
     runs = _read(spark, d, "events").selectExpr("user_id AS task", "ts AS at", "event_id AS run_id", "event_type <> 'error' AS ok")
     return tasks.islands(runs).select("task", "ok", "first_at", "last_at", "runs")
