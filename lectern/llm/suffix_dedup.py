@@ -34,7 +34,7 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,8 @@ from lectern.llm.shared import discard, written
 LENGTH, GRAM = 200, 64
 PIECE = 1 << 20
 BLOCK_BYTES, MOST_CONTEXTS = 2 << 20, 1024
+#: Hashes of rows that more than one row may have.
+MOST_SHARED = 10_000
 INVERSE = pow(A.MULTIPLIER, -1, 1 << 64)
 
 
@@ -364,11 +366,31 @@ def _united(runs: list | None) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def hashed(rows: DataFrame, salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), F.col("doc_id"), F.col("text"))
+
+
+def identity(docs: DataFrame) -> Column:
+    """A number for each different row (doc_id, text): a 64-bit hash, and for rows whose hash another row has as well, as a second
+    one tells, one of another salt; looked at again until no two rows share a number. Only such hashes come to the driver: three are
+    expected of 10^10 rows, and more than MOST_SHARED are an error."""
+    own = hashed(docs, 0)
+    for salt in range(1, 16):
+        shared = docs.select(own.alias("key"), hashed(docs, -salt).alias("other")).groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b")
+        again = [r.key for r in shared.select("key").limit(MOST_SHARED + 1).collect()]
+        if not again:
+            return own
+        if len(again) > MOST_SHARED:
+            raise ValueError("hashes of different rows agree too often")
+        own = F.when(own.isin(again), hashed(docs, salt)).otherwise(own)
+    raise ValueError("hashes of different rows agree too often")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, whole_characters: bool = False) -> DataFrame:
     """docs with `kept` (the bytes that stay), `removed` (runs of bytes as arrays [from, to]) and n_bytes.
     With whole_characters, a character that a run covers in part stays."""
     names = [c for c in docs.columns if c not in ("kept", "removed", "n_bytes")]
-    own = F.xxhash64(F.col("doc_id"), F.col("text"))
+    own = identity(docs)
     runs = repeated_runs(docs.select(own.alias("key"), "text"), length, k)
     # The document's columns travel in a struct, so none of their names can clash.
     packed = docs.select(own.alias("key"), F.struct(*[docs[c] for c in names]).alias("row"))

@@ -171,6 +171,15 @@ def test_repeats_are_removed(docs, most, monkeypatch):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_rows_whose_hashes_agree_are_told_apart(docs, monkeypatch):
+    whole = suffix_dedup.hashed
+    monkeypatch.setattr(suffix_dedup, "hashed", lambda rows, salt: F.pmod(whole(rows, salt), F.lit(3 if salt == 0 else 5)) if salt in (0, 1) else whole(rows, salt))
+    rows = docs.select("doc_id", "text").distinct()
+    assert rows.select(suffix_dedup.identity(rows)).distinct().count() == rows.count()
+    want = sorted((n, [list(r) for r in runs], kept) for n, runs, kept in brute_removal([r.text for r in docs.collect()], 200))
+    assert sorted((r.n_bytes, r.removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect()) == want
+
+
 def test_whole_characters_stay(spark):
     texts = ["é" * 150 + "a", "b" + "é" * 150]
     out = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), whole_characters=True).collect()
