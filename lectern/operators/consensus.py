@@ -68,6 +68,21 @@ def corroborated(scores: DataFrame, key: str, margin: float = 0.3) -> DataFrame:
     return ranked.where((F.col("rank") == 1) & (F.col("next").isNull() | (F.col("score") - F.col("next") > margin))).select(key, "entity_id", "score")
 
 
+def gap_ranges(positions: DataFrame, key: str) -> DataFrame:
+    """(key, first, last): runs of whole numbers missing between neighbouring whole positions of a series, a row each however long."""
+    p = F.col("position")
+    whole = positions.where((F.abs(p - F.round(p)) < 1e-6) & (p >= 0)).select(key, F.round(p).cast("long").alias("at")).distinct()
+    rows = whole.withColumn("next", F.lead("at").over(Window.partitionBy(key).orderBy("at"))).where("next > at + 1")
+    return rows.select(key, (F.col("at") + 1).alias("first"), (F.col("next") - 1).alias("last"))
+
+
+def classes(rows: DataFrame, key: str, by: Column) -> DataFrame:
+    """(key, class, n) of rows that share `by` with another: the class is its smallest key; a row each, so a class of any size is dealt out."""
+    held = rows.select(key, by.alias("by")).distinct()
+    groups = held.groupBy("by").agg(F.min(key).alias("class"), F.count("*").alias("n")).where("n > 1 and by is not null")
+    return held.join(groups, "by").select(key, "class", "n")
+
+
 def series_gaps(positions: DataFrame, key: str) -> DataFrame:
     """Per series, whole numbers missing between its least and largest whole position, and its fractional positions."""
     p = F.col("position")

@@ -13,26 +13,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.sources.versions import shared_folder
+from lectern.sources.versions import kept
 
 BATCH, PEELS = 512, 12
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """rows as a table in the shared folder: cuts lineage."""
-    import uuid
-
-    path = f"{shared_folder(rows.sparkSession)}/edges-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def on_cycles(edges: DataFrame, rounds: int = PEELS) -> DataFrame:
     """edges (parent, child, ..) without those that some rounds show to be on no cycle."""
     n = edges.count()
     for _ in range(rounds):
         left = edges.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-        left = _kept(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select(*edges.columns))
+        left = kept(left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select(*edges.columns))
         m = left.count()
         if m == n:
             break
@@ -42,12 +33,12 @@ def on_cycles(edges: DataFrame, rounds: int = PEELS) -> DataFrame:
 
 def reached(edges: DataFrame, starts: DataFrame, targets: DataFrame) -> DataFrame:
     """(start, target) where a walk over edges (parent, child) leads from one of starts (tag) to one of targets (tag)."""
-    seen = step = _kept(starts.select(F.col("tag").alias("start"), F.col("tag").alias("at")).distinct())
+    seen = step = kept(starts.select(F.col("tag").alias("start"), F.col("tag").alias("at")).distinct())
     while True:
-        step = _kept(step.join(edges, F.col("at") == F.col("parent")).select("start", F.col("child").alias("at")).distinct().join(seen, ["start", "at"], "left_anti"))
+        step = kept(step.join(edges, F.col("at") == F.col("parent")).select("start", F.col("child").alias("at")).distinct().join(seen, ["start", "at"], "left_anti"))
         if not step.limit(1).count():
             return seen.join(targets.select(F.col("tag").alias("at")).distinct(), "at", "left_semi").select("start", F.col("at").alias("target"))
-        seen = _kept(seen.unionByName(step))
+        seen = kept(seen.unionByName(step))
 
 
 def decided(batch: list[tuple[str, str]], ways: set[tuple[str, str]]) -> list[bool]:
@@ -75,22 +66,22 @@ def accepted(existing: DataFrame, new: DataFrame, batch: int = BATCH) -> DataFra
     already, or leads to itself, is not taken."""
     spark = new.sparkSession
     first = new.groupBy("parent", "child").agg(F.min("place").alias("place")).where("parent is not null and child is not null")
-    first = _kept(first.join(existing.select("parent", "child").distinct(), ["parent", "child"], "left_anti").where("parent <> child"))
+    first = kept(first.join(existing.select("parent", "child").distinct(), ["parent", "child"], "left_anti").where("parent <> child"))
     old = existing.select("parent", "child").distinct()
-    every = _kept(old.withColumn("place", F.lit(None).cast(first.schema["place"].dataType)).unionByName(first))
+    every = kept(old.withColumn("place", F.lit(None).cast(first.schema["place"].dataType)).unionByName(first))
     asked = on_cycles(every)
     edges = asked.where("place is null").select("parent", "child")
     order = ["place", "parent", "child"]
     # Numbered by ranges of places, so no task sorts all: the count before each range, and the place in it.
     rows = asked.where("place is not null").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    rows = _kept(rows.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*order))))
+    rows = kept(rows.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*order))))
     sizes = dict(rows.groupBy("part").count().collect())
     before, total = {}, 0
     for part in sorted(sizes):
         before[part], total = total, total + sizes[part]
     if total:
         start = spark.createDataFrame(list(before.items()), "part int, start long")
-        rows = _kept(rows.join(F.broadcast(start), "part").select("parent", "child", "place", (F.col("nth") + F.col("start")).alias("nth")))
+        rows = kept(rows.join(F.broadcast(start), "part").select("parent", "child", "place", (F.col("nth") + F.col("start")).alias("nth")))
     refused = []
     for low in range(0, total, batch):
         own = rows.where((F.col("nth") > low) & (F.col("nth") <= low + batch)).orderBy("nth").select("parent", "child")
@@ -103,7 +94,7 @@ def accepted(existing: DataFrame, new: DataFrame, batch: int = BATCH) -> DataFra
         refused.append([p for p, g in zip(pairs, good, strict=True) if not g])
         if took:
             edges = edges.unionByName(spark.createDataFrame(took, "parent string, child string"))
-            edges = _kept(edges)
+            edges = kept(edges)
     bad = None
     for some in refused:
         if some:

@@ -14,19 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.sources.versions import Versioned, shared_folder
+from lectern.sources.versions import Versioned, kept
 
 FIELD = ["target_kind", "target_id", "field"]
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    import uuid
-
-    path = f"{shared_folder(rows.sparkSession)}/journal-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def misfits(state: DataFrame, live: DataFrame) -> DataFrame:
     """Batches (batch) with an operation of live that fits neither the one before it nor the state."""
     by = Window.partitionBy(*FIELD).orderBy("op_id")
@@ -44,14 +36,14 @@ def replayed(state: DataFrame, journal: DataFrame) -> tuple[DataFrame, DataFrame
     were replayed onto state (target_kind, target_id, field, value). A batch is done, or failed and taken back; an operation
     without a batch_id is a batch of its own. A value of null is an absent field."""
     batch = F.coalesce(F.concat(F.lit("b"), "batch_id"), F.concat(F.lit("o"), F.col("op_id").cast("string")))
-    pending = _kept(journal.where("progress = 'pending'").withColumn("batch", batch))
+    pending = kept(journal.where("progress = 'pending'").withColumn("batch", batch))
     failed = pending.select("batch").where("false")
     while True:
         live = pending.join(failed, "batch", "left_anti")
-        more = _kept(misfits(state, live))
+        more = kept(misfits(state, live))
         if not more.limit(1).count():
             break
-        failed = _kept(failed.unionByName(more).distinct())
+        failed = kept(failed.unionByName(more).distinct())
     dead = pending.join(failed, "batch", "left_semi")
     order = F.col("op_id")
     done = live.groupBy(*FIELD).agg(F.max_by(F.struct("after"), order).alias("last"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.sources.versions import kept
+
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The last writer of each key, in a total order."""
@@ -113,7 +115,8 @@ def page_rows(asked: int | None, default: int = 50, most: int = 200) -> int:
 
 def nested_diff(rows: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """(key, path, kind, before, after) where two JSON texts differ, by dotted path: objects are compared field by field, to any depth,
-    other values whole; null, and a text that isn't JSON, is absent. A round a level, until no objects are left."""
+    other values whole; null, and a text that isn't JSON, is absent. A round a level, until no objects are left; what goes deeper is
+    written as JSON, so a level starts from the one before and not from the texts."""
     both = rows.select(key, F.lit("").alias("path"), F.expr(f"try_parse_json({before})").alias("a"), F.expr(f"try_parse_json({after})").alias("b"))
     found = None
     while True:
@@ -122,10 +125,10 @@ def nested_diff(rows: DataFrame, key: str, before: str, after: str) -> DataFrame
         deeper = is_object("a") & is_object("b")
         flat = both.where(~deeper).select(key, "path", none(F.col("a")).alias("before"), none(F.col("b")).alias("after")).where("NOT (before <=> after)")
         found = flat if found is None else found.unionByName(flat)
-        inner = both.where(deeper)
+        inner = kept(both.where(deeper).select(key, "path", F.to_json("a").alias("a"), F.to_json("b").alias("b")), "deeper")
         if not inner.limit(1).count():
             break
-        x, y = (F.col(c).cast("map<string,variant>") for c in "ab")
+        x, y = (F.parse_json(c).cast("map<string,variant>") for c in "ab")
         inner = inner.select(key, "path", x.alias("x"), y.alias("y")).select(key, "path", "x", "y", F.explode(F.array_distinct(F.concat(F.map_keys("x"), F.map_keys("y")))).alias("k"))
         name = F.when(F.col("path") == "", F.col("k")).otherwise(F.concat("path", F.lit("."), "k"))
         both = inner.select(key, name.alias("path"), F.try_element_at("x", F.col("k")).alias("a"), F.try_element_at("y", F.col("k")).alias("b"))

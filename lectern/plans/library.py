@@ -326,6 +326,16 @@ def duplicate_groups(spark, d):
     return groups.select(F.array_join(F.col("ids").cast("array<string>"), ",").alias("members"), F.size("ids").alias("n"))
 
 
+@query("duplicate_rows", "WITH d AS (SELECT doc_id, md5(text) AS h FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class, count(*) OVER (PARTITION BY h) AS n FROM d WHERE h IS NOT NULL QUALIFY count(*) OVER (PARTITION BY h) > 1")
+def duplicate_rows(spark, d):
+    return K.classes(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", F.md5(F.col("text").cast("binary")))
+
+
+@query("series_gap_ranges", with_("book_series") + "SELECT series_id, a + 1 AS first, n - 1 AS last FROM (SELECT series_id, a, lead(a) OVER (PARTITION BY series_id ORDER BY a) AS n FROM (SELECT DISTINCT series_id, CAST(position AS BIGINT) AS a FROM book_series WHERE position = round(position))) WHERE n > a + 1")
+def series_gap_ranges(spark, d):
+    return K.gap_ranges(frame(spark, d, "book_series"), "series_id")
+
+
 @query("majority_language", "SELECT source, lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang DESC) AS r FROM documents WHERE trim(lang) <> '' GROUP BY source, lang) WHERE r = 1")
 def majority_language(spark, d):
     counts = spark.read.parquet(f"{d}/documents.parquet").where("trim(lang) <> ''").groupBy("source", "lang").count()

@@ -5,12 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.sources.versions import shared_folder
+
 #: name: (table, where, {column: expression})
 TABLES: dict[str, tuple[str, str, dict[str, str]]] = {
     "books": ("part", "true", {
         "book_id": "p_partkey", "title": "p_name", "subtitle": "p_type",
         "language": "CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN 'de' WHEN p_partkey % 3 = 0 THEN 'fr' ELSE 'en' END",
-        "author_id": "p_partkey % 12", "publisher_id": "p_partkey % 27",
+        "author_id": "CAST(floor(p_partkey / 20) AS BIGINT)", "publisher_id": "p_partkey % 27",
         "duration_ms": "CASE WHEN p_size % 13 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) * 2700000 END",
         "reading_status": "CASE p_partkey % 5 WHEN 0 THEN 'unread' WHEN 1 THEN 'reading' WHEN 2 THEN 'finished' WHEN 3 THEN 'dnf' ELSE 'unread' END",
         "rating": "CASE WHEN p_size % 6 = 0 THEN NULL ELSE p_size % 6 END",
@@ -22,12 +24,12 @@ TABLES: dict[str, tuple[str, str, dict[str, str]]] = {
         "price": "p_retailprice",
     }),
     "authors": ("supplier", "true", {"author_id": "s_suppkey", "name": "s_name"}),
-    "author_aliases": ("supplier", "s_suppkey % 3 = 0", {"author_id": "s_suppkey", "alias": "concat('Pen ', s_name)", "is_prime": "s_suppkey % 2 = 0"}),
+    "author_aliases": ("supplier", "true", {"author_id": "s_suppkey", "alias": "concat('Pen ', s_name)", "is_prime": "s_suppkey % 6 = 0"}),
     "publishers": ("nation", "true", {"publisher_id": "CAST(n_nationkey AS BIGINT)", "name": "n_name"}),
-    "series": ("part", "p_partkey <= 50", {"series_id": "p_partkey", "name": "concat('Saga ', p_name)"}),
-    "series_aliases": ("part", "p_partkey <= 50 AND p_partkey % 4 = 0", {"series_id": "p_partkey", "alias": "concat('The ', p_name)", "is_prime": "p_partkey % 8 = 0"}),
-    "book_series": ("part", "p_partkey % 5 <> 0", {"book_id": "p_partkey", "series_id": "CAST(p_size AS BIGINT)", "position": "CAST(p_partkey % 9 AS DOUBLE) + CASE WHEN p_partkey % 10 = 1 THEN 0.5 ELSE 0 END", "is_primary": "p_partkey % 4 <> 0"}),
-    "book_narrator": ("lineitem", "l_linenumber <= 2", {"book_id": "l_partkey", "narrator_id": "l_suppkey"}),
+    "series": ("part", "true", {"series_id": "p_partkey", "name": "concat('Saga ', p_name)"}),
+    "series_aliases": ("part", "true", {"series_id": "p_partkey", "alias": "concat('The ', p_name)", "is_prime": "p_partkey % 8 = 0"}),
+    "book_series": ("part", "true", {"book_id": "p_partkey", "series_id": "CAST(floor(p_partkey / 7) AS BIGINT) * 3", "position": "CAST(p_partkey % 9 AS DOUBLE) + CASE WHEN p_partkey % 10 = 1 THEN 0.5 ELSE 0 END", "is_primary": "p_partkey % 4 <> 0"}),
+    "book_narrator": ("lineitem", "true", {"book_id": "l_partkey", "narrator_id": "l_suppkey"}),
     "files": ("lineitem", "true", {
         "file_id": "l_partkey * 100000000 + l_orderkey * 10 + l_linenumber", "book_id": "l_partkey", "format": "CASE l_returnflag WHEN 'A' THEN 'M4B' WHEN 'N' THEN 'mp3' ELSE 'Flac' END",
         "duration_ms": "CASE WHEN l_linenumber = 5 THEN NULL ELSE CAST(l_quantity AS BIGINT) * 60000 END", "is_active": "l_linestatus = 'O'", "size": "CAST(floor(l_extendedprice) AS BIGINT)",
@@ -48,14 +50,9 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; where that is unset, one machine's session (tests) gets a local folder."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    import tempfile
-
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    """Checkpoints go to the shared folder (sources.versions)."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def with_(*names: str) -> str:

@@ -69,9 +69,15 @@ def learned_lookup(spark, d):
     return books.join(latest, ["title", "author"]).select("book_id", "asin")
 
 
-@query("stated_names")
+_CAP = "concat(upper(substr({0}, 1, 1)), lower(substr({0}, 2)))"
+_ADJ, _NOUN = (_CAP.format(f"split_part(p_name, ' ', {i})") for i in (1, 2))
+_INTRO = f"concat('This is ', p_name, '. Written by ', {_ADJ}, ' ', {_NOUN}, ' and READ BY ', {_CAP.format('p_type')}, ' Voice. More by J. ', {_NOUN}, '; by Third One, and this is it, narrated by nobody')"
+
+
+@query("stated_names", f"SELECT p_partkey, 'title' AS kind, p_name AS value, 0.7::DOUBLE AS confidence FROM part UNION ALL SELECT p_partkey, 'author', concat({_ADJ}, ' ', {_NOUN}), 0.85 FROM part UNION ALL SELECT p_partkey, 'author', concat('J. ', {_NOUN}), 0.85 FROM part UNION ALL SELECT p_partkey, 'narrator', concat({_CAP.format('p_type')}, ' Voice'), 0.9 FROM part")
 def stated_names(spark, d):
-    return _docs(spark, d).select("doc_id", F.explode(X.stated_names(F.col("text"))).alias("n")).select("doc_id", "n.*")
+    rows = spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", f"{_INTRO} AS text")
+    return rows.select("p_partkey", F.explode(X.stated_names(F.col("text"))).alias("n")).select("p_partkey", "n.*")
 
 
 @query("page_text")

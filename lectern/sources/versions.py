@@ -31,6 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+def kept(rows: DataFrame, name: str = "rows") -> DataFrame:
+    """rows as a table written once in the shared folder: it cuts lineage, and later readers share the work."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 class Files:
     """The few file operations of the driver, by Spark's own file systems."""
 
