@@ -37,8 +37,8 @@ from lectern.llm.shared import discard, written
 #: Bins of hashed pairs: 2 ** BINS counts, of which one bit each goes to the tasks; a pair has one in each half.
 BINS = 22
 BUCKETS = 64
-#: Bytes of text, and slots, looked at together.
-TEXT, SLOTS = 8 << 20, 4 << 20
+#: Bytes of text, and slots, looked at together; pairs that a task holds before it hands them on.
+TEXT, SLOTS, HELD = 4 << 20, 1 << 20, 2 << 20
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 BLANK = np.zeros(256, bool)
@@ -251,9 +251,9 @@ def candidates(sequence: DataFrame, bits: np.ndarray) -> DataFrame:
             _, p, q, h = pairs_of(s)
             good = passing(bits, h)
             held = tuple(np.concatenate(x) for x in zip(held, distinct_pairs(p[good], q[good]), strict=True))
-            if len(held[0]) > SLOTS:
+            if len(held[0]) > HELD:
                 held = distinct_pairs(*held)
-                if len(held[0]) > SLOTS // 2:
+                if len(held[0]) > HELD // 2:
                     yield from dealt(*held, part)
                     held = np.zeros(0, np.int64), np.zeros(0, np.int64)
         yield from dealt(*distinct_pairs(*held), part)
