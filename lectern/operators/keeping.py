@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.codes import ascii_lower
 from lectern.functions.scalar import normal_words
 from lectern.operators.catalog import display_names
 from lectern.operators.state import check, latest
@@ -130,3 +131,35 @@ def checks(tables: dict[str, DataFrame], now: Column, known_stages: list[str], d
     for more in found[1:]:
         out = out.unionByName(more)
     return out
+
+
+def entity_order(entities: DataFrame, by: str = "name", descending: bool = False) -> DataFrame:
+    """entities (id, name, name_sort, book_count) in one of their orders: by name, by name_sort (the name, if there is none), or by
+    book_count and then name; names in any ASCII case, ties by id."""
+    name = ascii_lower(F.coalesce("name_sort", "name") if by == "name_sort" else F.col("name"))
+    way = (lambda c: c.desc()) if descending else (lambda c: c.asc())
+    return entities.orderBy(*([way(F.col("book_count")), name] if by == "book_count" else [way(name)]), "id")
+
+
+#: How near, in milliseconds, a fingerprint's hit lies to a transcript's that it bears out, and how sure both together are.
+NEAR_MS, BOTH = 2000, 0.75
+
+
+def corroborated(said: DataFrame, prints: DataFrame) -> DataFrame:
+    """said (file_id, kind, start_ms, end_ms, method, confidence) with those that a fingerprint of prints (file_id, kind, start_ms) lies near
+    raised to both methods' confidence; their own times stay. Times go to buckets of the reach, so the join is on equal keys."""
+    bucket = F.floor(F.col("start_ms") / NEAR_MS)
+    near = prints.select("file_id", "kind", F.col("start_ms").alias("at"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    hit = said.select("file_id", "kind", "start_ms", bucket.alias("bucket")).distinct().join(near, ["file_id", "kind", "bucket"]).where(F.abs(F.col("start_ms") - F.col("at")) <= NEAR_MS)
+    both = hit.select("file_id", "kind", "start_ms").distinct().withColumn("both", F.lit(True))
+    rows = said.join(both, ["file_id", "kind", "start_ms"], "left")
+    return rows.withColumns({"method": F.when(F.col("both"), "fingerprint_and_transcript").otherwise(F.col("method")), "confidence": F.when(F.col("both"), F.lit(BOTH)).otherwise(F.col("confidence"))}).drop("both")
+
+
+def logo_states(books: DataFrame, matches: DataFrame) -> DataFrame:
+    """books (book_id, audiologo_status) with the status that their matches (book_id, status) give: applied before candidate (or detected
+    again) before rejected; without matches `stripped` and `none` stay and others are unknown."""
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    by = matches.groupBy("book_id").agg(F.when(n("applied") > 0, "applied").when(n("candidate", "re_detected") > 0, "detected").when(n("rejected") > 0, "rejected").otherwise("unknown").alias("new"))
+    old = F.when(F.col("audiologo_status").isin("stripped", "none"), F.col("audiologo_status")).otherwise("unknown")
+    return books.join(by, "book_id", "left").withColumn("audiologo_status", F.coalesce("new", old)).drop("new")

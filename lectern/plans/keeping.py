@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions import scalar as N
+from lectern.operators import facets
 from lectern.operators import keeping as K
+from lectern.operators import state as S
 from lectern.plans.catalog import _CAT, _rows
 from lectern.plans.standins import frame, with_
+from lectern.sources import formats
 
 QUERIES, ORACLES = {}, {}
 
@@ -154,3 +158,100 @@ SELECT check_name, CASE WHEN n = 0 THEN 'ok' ELSE bad END AS status, n FROM r"""
 def library_checks(spark, d):
     tables = {n: _sql(spark, d, s, t) for n, (s, t) in _T.items()} | {"books": frame(spark, d, "books")}
     return K.checks(tables, F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), ["view", "click", "error"])
+
+
+_SECS = "CASE WHEN o_orderkey % 50 = 0 THEN 0 WHEN o_orderkey % 50 <> 1 THEN o_orderkey * 86399 - 40000000 END"
+_SHORT = "['ene.', 'feb.', 'mar.', 'abr.', 'may.', 'jun.', 'jul.', 'ago.', 'sept.', 'oct.', 'nov.', 'dic.']"
+
+
+@query("date_texts", f"""WITH t AS (SELECT o_orderkey, CAST({_SECS} AS BIGINT) AS s FROM orders), d AS (SELECT o_orderkey, s, TIMESTAMP '1970-01-01' + to_seconds(s) AS t FROM t)
+SELECT o_orderkey, CASE WHEN coalesce(s, 0) = 0 THEN '—' ELSE strftime(t, '%m/%d/%Y') END AS en_short, CASE WHEN coalesce(s, 0) = 0 THEN '—' ELSE strftime(t, '%d.%m.%Y %H:%M') END AS de_short,
+CASE WHEN coalesce(s, 0) = 0 THEN '—' ELSE concat(CAST(day(t) AS VARCHAR), ' ', {_SHORT}[month(t)], ' ', CAST(year(t) AS VARCHAR)) END AS es_medium, CASE WHEN coalesce(s, 0) = 0 THEN '—' ELSE strftime(t, '%Y-%m-%d') END AS other_short,
+CASE WHEN coalesce(s, 0) = 0 THEN '—' ELSE concat(monthname(t)[1:3], ' ', CAST(day(t) AS VARCHAR), ', ', CAST(year(t) AS VARCHAR), ' ', CAST((hour(t) + 11) % 12 + 1 AS VARCHAR), ':', strftime(t, '%M'), CASE WHEN hour(t) < 12 THEN ' AM' ELSE ' PM' END) END AS en_medium,
+CASE WHEN coalesce(s, 0) = 0 THEN '—' ELSE concat(CAST(day(t) AS VARCHAR), ' ', monthname(t), ' ', CAST(year(t) AS VARCHAR)) END AS other_long FROM d""")
+def date_texts(spark, d):
+    s = F.expr(f"CAST({_SECS} AS BIGINT)")
+    return _read(spark, d, "orders").select(
+        "o_orderkey", N.date_text(s, "en-US", "short").alias("en_short"), N.datetime_text(s, "de", "short").alias("de_short"), N.date_text(s, "es", "medium").alias("es_medium"),
+        N.date_text(s, "pl", "short").alias("other_short"), N.datetime_text(s, "en", "medium").alias("en_medium"), N.date_text(s, "pl").alias("other_long"))
+
+
+_CODE = "CASE WHEN o_orderkey % 9 = 0 THEN 128512 + o_orderkey % 60 ELSE 161 + o_orderkey % 9000 END"
+
+
+@query("decoded_entities", f"""SELECT o_orderkey, concat('a ', chr(CAST({_CODE} AS INTEGER)), ' < "', '&', 'lt; &x; &#xD800; &; ', chr(CAST({_CODE} AS INTEGER)), '; & b &#99999999; ', chr(160), '>') AS text FROM orders""")
+def decoded_entities(spark, d):
+    code = F.expr(f"CAST({_CODE} AS BIGINT)")
+    raw = F.concat(F.lit("a &#"), code.cast("string"), F.lit("; &lt; &quot;&amp;lt; &x; &#xD800; &; &#x"), F.lower(F.hex(code)), F.lit(";; & b &#99999999; &nbsp;&gt;"))
+    return _read(spark, d, "orders").select("o_orderkey", N.decoded(raw).alias("text"))
+
+
+_ENTITIES = "SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_nationkey % 2 = 0 THEN concat(CASE WHEN s_nationkey % 4 = 0 THEN 'z' ELSE 'A' END, s_name) END AS name_sort, CAST(s_nationkey AS BIGINT) AS book_count FROM supplier"
+
+
+@query("entities_by_sort_name", f"SELECT id, name FROM ({_ENTITIES}) ORDER BY lower(coalesce(name_sort, name)) DESC, id LIMIT 60")
+def entities_by_sort_name(spark, d):
+    return K.entity_order(_sql(spark, d, _ENTITIES, "supplier"), "name_sort", True).limit(60).select("id", "name")
+
+
+@query("web_subtitles", with_("segments") + """SELECT book_id, concat('WEBVTT', chr(10), chr(10), string_agg(concat(format('{:02d}:{:02d}:{:02d}.000 --> {:02d}:{:02d}:{:02d}.000', idx * 5 // 3600, idx * 5 // 60 % 60, idx * 5 % 60, (idx + 1) * 5 // 3600, (idx + 1) * 5 // 60 % 60, (idx + 1) * 5 % 60), chr(10), replace(said, chr(10), ' '), chr(10)), chr(10) ORDER BY idx)) AS vtt FROM segments GROUP BY book_id""")
+def web_subtitles(spark, d):
+    return formats.vtt(frame(spark, d, "segments").selectExpr("book_id", "idx", "idx * 5000 AS start_ms", "(idx + 1) * 5000 AS end_ms", "said AS title"), "book_id")
+
+
+_INFO = """CASE p_size % 4 WHEN 0 THEN '{"content_metadata":{}}' WHEN 1 THEN '{"other":1}' ELSE concat('{"content_metadata":{"chapter_info":{"chapters":[{"title":"', p_name, '","start_offset_ms":0,"length_ms":', CAST(p_size AS VARCHAR(9)), '},{"title":"End","start_offset_ms":', CAST(p_size AS VARCHAR(9)), ',"length_ms":5}]}}}') END"""
+
+
+@query("chapter_infos", "SELECT p_partkey, p_name AS title, 0::BIGINT AS start_ms, CAST(p_size AS BIGINT) AS end_ms FROM part WHERE p_size % 4 > 1 UNION ALL SELECT p_partkey, 'End', p_size, p_size + 5 FROM part WHERE p_size % 4 > 1")
+def chapter_infos(spark, d):
+    rows = _read(spark, d, "part").selectExpr("p_partkey", f"{_INFO.replace('VARCHAR(9)', 'STRING')} AS body").select("p_partkey", F.explode(formats.chapter_info(F.col("body"))).alias("c"))
+    return rows.select("p_partkey", "c.title", F.col("c.start_offset_ms").alias("start_ms"), (F.col("c.start_offset_ms") + F.col("c.length_ms")).alias("end_ms"))
+
+
+_DIRS = "SELECT o_orderkey AS book_id, concat('/m', CASE o_custkey % 4 WHEN 0 THEN '' WHEN 3 THEN concat('/set', CAST(o_custkey % 50 AS VARCHAR(9)), '/inner') ELSE concat('/set', CAST(o_custkey % 50 AS VARCHAR(9))) END, '/', CAST(o_orderkey AS VARCHAR(9))) AS dir FROM orders"
+
+
+@query("box_sets", f"""WITH b AS ({_DIRS}), g AS (SELECT regexp_extract(dir, '^(.*)/[^/]*$', 1) AS folder, count(*) AS books FROM b GROUP BY 1 HAVING count(*) > 1)
+SELECT folder, books FROM g WHERE folder <> '/m' AND folder NOT IN (SELECT regexp_extract(folder, '^(.*)/[^/]*$', 1) FROM g) AND folder NOT IN (SELECT concat('/m/set', CAST(c_nationkey AS VARCHAR)) FROM customer WHERE c_nationkey % 5 = 2)""")
+def box_sets(spark, d):
+    existing = _sql(spark, d, "SELECT concat('/m/set', CAST(c_nationkey AS VARCHAR(9))) AS folder FROM customer WHERE c_nationkey % 5 = 2", "customer").distinct()
+    return formats.box_sets(_sql(spark, d, _DIRS, "orders"), "/m", existing)
+
+
+_HEARD = "SELECT event_id AS row_id, user_id AS file_id, event_type AS kind, epoch_us(ts) // 1000 AS start_ms FROM events"
+
+
+@query("corroborated_hits", f"""WITH s AS (SELECT * FROM ({_HEARD}) WHERE row_id % 3 <> 0), p AS (SELECT file_id, kind, start_ms // 1000000 * 1000000 + 1500 AS a FROM ({_HEARD}))
+SELECT row_id, start_ms // 500 AS place, CASE WHEN hit THEN 'fingerprint_and_transcript' ELSE 'transcript_only' END AS method, CASE WHEN hit THEN 0.75 ELSE 0.55 END::DOUBLE AS confidence
+FROM (SELECT *, EXISTS (SELECT 1 FROM p WHERE p.file_id = s.file_id AND p.kind = s.kind AND abs(s.start_ms // 500 - p.a // 500) <= 2000) AS hit FROM s)""")
+def corroborated_hits(spark, d):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    e = _read(spark, d, "events").select(F.col("event_id").alias("row_id"), F.col("user_id").alias("file_id"), F.col("event_type").alias("kind"), ms.alias("ms"))
+    said = e.where("row_id % 3 <> 0").select("row_id", "file_id", "kind", F.floor(F.col("ms") / 500).alias("start_ms"), F.lit("transcript_only").alias("method"), F.lit(0.55).alias("confidence"))
+    prints = e.select("file_id", "kind", F.floor((F.floor(F.col("ms") / 1000000) * 1000000 + 1500) / 500).alias("start_ms"))
+    return K.corroborated(said, prints).select("row_id", F.col("start_ms").alias("place"), "method", "confidence")
+
+
+_LOGOS = "SELECT o_custkey AS book_id, CASE o_orderkey % 7 WHEN 0 THEN 'applied' WHEN 1 THEN 're_detected' WHEN 2 THEN 'candidate' WHEN 3 THEN 'odd' ELSE 'rejected' END AS status FROM orders WHERE o_custkey % 3 = 0 OR o_orderkey % 7 > 2"
+_WAS = "SELECT c_custkey AS book_id, CASE c_nationkey % 3 WHEN 0 THEN 'stripped' WHEN 1 THEN 'none' ELSE 'applied' END AS audiologo_status FROM customer"
+
+
+@query("logo_states", f"""WITH m AS ({_LOGOS}), n AS (SELECT book_id, count_if(status = 'applied') AS a, count_if(status IN ('candidate', 're_detected')) AS c, count_if(status = 'rejected') AS r FROM m GROUP BY 1)
+SELECT b.book_id, CASE WHEN n.book_id IS NULL THEN CASE WHEN audiologo_status IN ('stripped', 'none') THEN audiologo_status ELSE 'unknown' END WHEN a > 0 THEN 'applied' WHEN c > 0 THEN 'detected' WHEN r > 0 THEN 'rejected' ELSE 'unknown' END AS audiologo_status FROM ({_WAS}) b LEFT JOIN n ON n.book_id = b.book_id""")
+def logo_states(spark, d):
+    return K.logo_states(_sql(spark, d, _WAS, "customer"), _sql(spark, d, _LOGOS, "orders"))
+
+
+@query("stage_reset_parts", """WITH a AS (SELECT DISTINCT user_id AS b, event_id % 97 AS s FROM events WHERE event_type = 'error')
+SELECT 'progress' AS part, count(*) AS kept FROM events WHERE (user_id, event_id % 97) NOT IN (SELECT (b, s) FROM a) UNION ALL SELECT 'caches', count(*) FROM orders WHERE (o_custkey, o_orderkey % 97) NOT IN (SELECT (b, s) FROM a) UNION ALL SELECT 'provenance', count(*) FROM lineitem WHERE (l_suppkey, l_orderkey % 97) NOT IN (SELECT (b, s) FROM a)""")
+def stage_reset_parts(spark, d):
+    of = lambda t, book, stage: _read(spark, d, t).selectExpr(f"{book} AS book_id", f"{stage} % 97 AS stage")
+    asked = _read(spark, d, "events").where("event_type = 'error'").selectExpr("user_id AS book_id", "event_id % 97 AS stage")
+    out = S.reset(of("events", "user_id", "event_id"), of("orders", "o_custkey", "o_orderkey"), of("lineitem", "l_suppkey", "l_orderkey"), asked)
+    parts = [rows.agg(F.count("*").alias("kept")).select(F.lit(n).alias("part"), "kept") for n, rows in zip(("progress", "caches", "provenance"), out, strict=True)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("length_buckets", with_("books") + "SELECT book_id, CASE WHEN duration_ms IS NULL THEN 'unknown' WHEN duration_ms < 14400000 THEN '<4h' WHEN duration_ms < 28800000 THEN '4-8h' WHEN duration_ms < 54000000 THEN '8-15h' WHEN duration_ms < 90000000 THEN '15-25h' ELSE '25h+' END AS bucket FROM books")
+def length_buckets(spark, d):
+    return frame(spark, d, "books").select("book_id", facets.length_bucket(F.col("duration_ms")).alias("bucket"))
