@@ -37,7 +37,6 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,6 +44,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,18 +56,20 @@ NUMBER = re.compile(r"[+-]?\d[\d.,:/]*(%|[^\W\d_]{1,3}[²³]?)?")
 UNIT = re.compile(r"[^\W\d_]{1,3}[²³]?(/[^\W\d_]{1,4}[²³]?)?")
 #: Spelt-out words that are units after a number, beside those that UNIT matches.
 UNITS = frozenset("hours days weeks years dollars euros cents percent".split())
+#: Letters that UNIT or UNITS take at most.
+LONGEST_UNIT = 10
 EDGE = " \t\n\r.,;:!?\"'()[]{}<>*#$%&|_-–—…«»„“”"
 
 
 #: What the kinds of slots put into a template; 0 is no slot.
 PLACEHOLDERS = (None, "\x01n", "\x01u", "\x01c")
-KNOWN = 200_000
+KNOWN = 400_000
 #: Plain words that a window has at least if its slots may hold other values.
 PLAIN = 2
 
 
 def _hash(token: str) -> int:
-    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
 
 
 IDS = np.array([0, *(_hash(t) for t in PLACEHOLDERS[1:])], np.uint64)
@@ -78,8 +80,10 @@ def _word(raw: str) -> tuple[str, int, bool, bool, bool, bool]:
     word = raw.strip(EDGE)
     low = word.casefold()
     ends = raw[-1:] in (".", "!", "?") or raw[-2:-1] in (".", "!", "?")
-    unit = low in UNITS or bool(UNIT.fullmatch(low))
-    return low, _hash(low), bool(NUMBER.fullmatch(word)), unit, word[:1].isupper() and not word.isupper(), ends
+    first = word[:1]
+    number = (first.isdigit() or first in "+-") and bool(NUMBER.fullmatch(word))
+    unit = len(low) <= LONGEST_UNIT and (low in UNITS or bool(UNIT.fullmatch(low)))
+    return low, _hash(low), number, unit, first.isupper() and not word.isupper(), ends
 
 
 @dataclass
