@@ -163,3 +163,56 @@ def logo_states(books: DataFrame, matches: DataFrame) -> DataFrame:
     by = matches.groupBy("book_id").agg(F.when(n("applied") > 0, "applied").when(n("candidate", "re_detected") > 0, "detected").when(n("rejected") > 0, "rejected").otherwise("unknown").alias("new"))
     old = F.when(F.col("audiologo_status").isin("stripped", "none"), F.col("audiologo_status")).otherwise("unknown")
     return books.join(by, "book_id", "left").withColumn("audiologo_status", F.coalesce("new", old)).drop("new")
+
+
+def entity_details(kind: str, entities: DataFrame, members: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(kind, id, name, book_count, aliases): entities (id, name) with the number of their books (members: id, book_id), deleted ones too,
+    and their aliases (id, alias_id, alias) in the order in which they came."""
+    books = members.select("id", "book_id").distinct().groupBy("id").agg(F.count("*").alias("book_count"))
+    own = aliases.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("alias_id", "alias"))), lambda a: a["alias"]).alias("aliases"))
+    rows = entities.select("id", "name").join(books, "id", "left").join(own, "id", "left")
+    return rows.select(F.lit(kind).alias("kind"), "id", "name", F.coalesce("book_count", F.lit(0)).alias("book_count"), F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
+def created(collections: DataFrame, requests: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(collections, journal, refused) after requests (request_id, name, fields..) to create collections (name, fields..): texts are trimmed and
+    blank ones null, a blank name is refused, and so is one that a collection or an earlier request has in any ASCII case. The journal has
+    a row (request_id, field, after) for each value of a new collection."""
+    plain = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    asked = requests.select("request_id", plain("name").alias("name"), *[plain(f).alias(f) for f in fields]).withColumn("_key", ascii_lower(F.col("name")))
+    free = asked.where("name is not null").join(collections.select(ascii_lower(F.col("name")).alias("_key")).distinct(), "_key", "left_anti")
+    first = free.groupBy("_key").agg(F.min("request_id").alias("request_id")).select("request_id")
+    new = asked.join(first, "request_id", "left_semi").drop("_key")
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("after")) for f in ("name", *fields)]))
+    log = new.select("request_id", cells.alias("c")).select("request_id", "c.*").where("after is not null")
+    return collections.unionByName(new.drop("request_id")), log, asked.join(first, "request_id", "left_anti").select("request_id")
+
+
+def added_candidates(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old provenance with new rows (book_id, field, value, source, ..) that no row of the same book, field, value and source is there for; of
+    several alike the surest is added."""
+    same = ["book_id", "field", "value", "source"]
+    rest = [c for c in old.columns if c not in same]
+    fresh = new.groupBy(*same).agg(F.max(F.struct("confidence", *[c for c in rest if c != "confidence"])).alias("best")).select(*same, "best.*")
+    known = old.select(*[F.col(c).alias(f"_{c}") for c in same]).distinct()
+    match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]
+    on = match[0] & match[1] & match[2] & match[3]
+    return old.unionByName(fresh.join(known, on, "left_anti").select(old.columns))
+
+
+def described(books: DataFrame, detected: DataFrame) -> DataFrame:
+    """books (book_id, description, description_lang) with a language found (book_id, lang) for descriptions that aren't blank and have none
+    yet; one that is there stays, so a second run changes nothing."""
+    found = detected.where("lang is not null").groupBy("book_id").agg(F.min("lang").alias("_lang"))
+    wanted = F.col("description_lang").isNull() & (F.trim(F.coalesce("description", F.lit(""))) != "")
+    return books.join(found, "book_id", "left").withColumn("description_lang", F.when(wanted, F.col("_lang")).otherwise(F.col("description_lang"))).drop("_lang")
+
+
+def pending_installs(requests: DataFrame, books: DataFrame, progress: DataFrame) -> DataFrame:
+    """(locale, requested_at, blocked): speech models asked for (locale, installed, requested_at) that aren't installed, with how many books that
+    aren't deleted (book_id, language, deleted_at) wait for them: those of the locale's language whose progress (book_id, status) is blocked."""
+    waits = progress.where("status = 'blocked'").select("book_id").distinct()
+    lang = lambda c: ascii_lower(F.substring_index(F.col(c), "-", 1))
+    held = books.where("deleted_at is null").join(waits, "book_id", "left_semi").groupBy(lang("language").alias("_lang")).agg(F.count_distinct("book_id").alias("blocked"))
+    open_ = requests.where("not installed").groupBy("locale").agg(F.min("requested_at").alias("requested_at")).withColumn("_lang", lang("locale"))
+    return open_.join(held, "_lang", "left").select("locale", "requested_at", F.coalesce("blocked", F.lit(0)).alias("blocked"))

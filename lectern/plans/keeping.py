@@ -255,3 +255,74 @@ def stage_reset_parts(spark, d):
 @query("length_buckets", with_("books") + "SELECT book_id, CASE WHEN duration_ms IS NULL THEN 'unknown' WHEN duration_ms < 14400000 THEN '<4h' WHEN duration_ms < 28800000 THEN '4-8h' WHEN duration_ms < 54000000 THEN '8-15h' WHEN duration_ms < 90000000 THEN '15-25h' ELSE '25h+' END AS bucket FROM books")
 def length_buckets(spark, d):
     return frame(spark, d, "books").select("book_id", facets.length_bucket(F.col("duration_ms")).alias("bucket"))
+
+
+#: Entities, their books and their aliases, of each kind.
+_DETAILS = {
+    "author": ("SELECT s_suppkey AS id, s_name AS name FROM supplier", "SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS id, p_partkey AS book_id FROM part", "SELECT c_nationkey AS id, c_custkey AS alias_id, c_mktsegment AS alias FROM customer"),
+    "narrator": ("SELECT s_suppkey AS id, s_name AS name FROM supplier", "SELECT l_suppkey AS id, l_partkey AS book_id FROM lineitem", "SELECT c_custkey % 40 AS id, -c_custkey AS alias_id, c_name AS alias FROM customer"),
+    "series": ("SELECT p_partkey AS id, p_name AS name FROM part", "SELECT p_partkey - p_partkey % 7 AS id, p_partkey AS book_id FROM part", "SELECT p_partkey AS id, p_size AS alias_id, p_brand AS alias FROM part"),
+    "publisher": ("SELECT n_nationkey AS id, n_name AS name FROM nation", "SELECT p_partkey % 27 AS id, p_partkey AS book_id FROM part", "SELECT s_nationkey AS id, s_suppkey AS alias_id, s_name AS alias FROM supplier"),
+    "collection": ("SELECT c_custkey AS id, c_name AS name FROM customer", "SELECT o_custkey AS id, o_orderkey % 500 AS book_id FROM orders", "SELECT c_custkey AS id, c_custkey AS alias_id, c_mktsegment AS alias FROM customer"),
+}
+
+
+@query("entity_details", " UNION ALL ".join(f"SELECT '{k}' AS kind, CAST(e.id AS BIGINT) AS id, name, (SELECT count(DISTINCT book_id) FROM ({m}) m WHERE m.id = e.id) AS book_count, coalesce((SELECT string_agg(alias, '; ' ORDER BY alias_id, alias) FROM ({a}) a WHERE a.id = e.id), '') AS aliases FROM ({e}) e" for k, (e, m, a) in _DETAILS.items()))
+def entity_details(spark, d):
+    out = None
+    for kind, parts in _DETAILS.items():
+        rows = K.entity_details(kind, *(_sql(spark, d, p, p.rsplit(" ", 1)[1]) for p in parts)).withColumns({"id": F.col("id").cast("long"), "aliases": F.array_join("aliases", "; ")})
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_HAS = "SELECT c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS description, CAST(NULL AS VARCHAR(9)) AS cover FROM customer WHERE c_custkey % 3 = 0"
+_WANT = "SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 10 = 0 THEN '  ' WHEN o_orderkey % 4 = 1 THEN concat(' cUSTOMER#', lpad(CAST(o_custkey AS VARCHAR(9)), 9, '0'), ' ') ELSE concat('New ', CAST(o_orderkey % 700 AS VARCHAR(9))) END AS name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat(o_orderstatus, ' ') END AS description, CASE WHEN o_orderkey % 5 = 0 THEN 'c.jpg' END AS cover FROM orders"
+_NEW = f"""WITH h AS ({_HAS}), w AS (SELECT request_id, nullif(trim(name), '') AS name, nullif(trim(description), '') AS description, nullif(trim(cover), '') AS cover FROM ({_WANT})),
+n AS (SELECT * FROM w WHERE name IS NOT NULL AND lower(name) NOT IN (SELECT lower(name) FROM h) QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY request_id) = 1)"""
+
+
+def _created(spark, d):
+    return K.created(_sql(spark, d, _HAS, "customer"), _sql(spark, d, _WANT, "orders"), ("description", "cover"))
+
+
+@query("collections_created", _NEW + " SELECT * FROM h UNION ALL SELECT name, description, cover FROM n")
+def collections_created(spark, d):
+    return _created(spark, d)[0]
+
+
+@query("collections_logged", _NEW + " SELECT request_id, 'name' AS field, name AS after FROM n UNION ALL SELECT request_id, 'description', description FROM n WHERE description IS NOT NULL UNION ALL SELECT request_id, 'cover', cover FROM n WHERE cover IS NOT NULL")
+def collections_logged(spark, d):
+    return _created(spark, d)[1]
+
+
+@query("collections_refused", _NEW + " SELECT request_id FROM w WHERE request_id NOT IN (SELECT request_id FROM n)")
+def collections_refused(spark, d):
+    return _created(spark, d)[2]
+
+
+_ROWS = "SELECT l_orderkey AS book_id, l_returnflag AS field, CASE WHEN l_linenumber <> 3 THEN l_linestatus END AS value, CASE l_suppkey % 3 WHEN 0 THEN 'cue' WHEN 1 THEN 'tag' ELSE 'web' END AS source, max(1 - l_discount) AS confidence FROM lineitem WHERE {} GROUP BY ALL"
+
+
+@query("candidates_added", f"WITH o AS ({_ROWS.format('l_discount < 0.03')}), n AS ({_ROWS.format('l_discount >= 0.02')}) SELECT book_id, field, value, source, round(confidence, 6) AS confidence FROM (SELECT * FROM o UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.book_id = n.book_id AND o.field = n.field AND o.value IS NOT DISTINCT FROM n.value AND o.source = n.source))")
+def candidates_added(spark, d):
+    old, new = (_sql(spark, d, _ROWS.format(f"l_discount {c}"), "lineitem") for c in ("< 0.03", ">= 0.02"))
+    return K.added_candidates(old, new).withColumn("confidence", F.round("confidence", 6))
+
+
+_TOLD = "SELECT doc_id AS book_id, CASE WHEN doc_id % 6 = 0 THEN ' ' WHEN doc_id % 6 = 1 THEN NULL ELSE source END AS description, CASE WHEN doc_id % 5 = 0 THEN 'xx' END AS description_lang FROM documents"
+
+
+@query("descriptions_told", f"SELECT t.book_id, coalesce(description_lang, CASE WHEN trim(coalesce(description, '')) <> '' AND t.book_id % 4 <> 0 THEN lang END) AS description_lang FROM ({_TOLD}) t JOIN documents ON doc_id = t.book_id")
+def descriptions_told(spark, d):
+    found = _read(spark, d, "documents").where("doc_id % 4 <> 0").selectExpr("doc_id AS book_id", "lang")
+    return K.described(_sql(spark, d, _TOLD, "documents"), found).select("book_id", "description_lang")
+
+
+_MODELS = "SELECT concat(CASE n_nationkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'DE' WHEN 2 THEN 'fr' ELSE 'pt' END, '-', CAST(n_regionkey AS VARCHAR(9))) AS locale, n_nationkey % 3 = 0 AS installed, n_nationkey AS requested_at FROM nation"
+_HELD = "SELECT user_id AS book_id, CASE event_type WHEN 'error' THEN 'blocked' ELSE 'done' END AS status FROM events"
+
+
+@query("pending_installs", with_("books") + f", m AS ({_MODELS}), p AS ({_HELD}) SELECT locale, min(requested_at) AS requested_at, (SELECT count(*) FROM books WHERE deleted_at IS NULL AND lower(language) = lower(split_part(locale, '-', 1)) AND book_id IN (SELECT book_id FROM p WHERE status = 'blocked')) AS blocked FROM m WHERE NOT installed GROUP BY locale")
+def pending_installs(spark, d):
+    return K.pending_installs(_sql(spark, d, _MODELS, "nation"), frame(spark, d, "books"), _sql(spark, d, _HELD, "events"))

@@ -87,3 +87,32 @@ def test_gaps_of_any_length_are_rows(spark):
     assert sorted(tuple(r) for r in consensus.gap_ranges(rows, "series_id").collect()) == [(1, 2, 3), (1, 5, 999_999_999)]
     same = consensus.classes(spark.createDataFrame([(4, "a"), (2, "a"), (3, None), (5, None), (6, "b")], "id long, t string"), "id", F.col("t"))
     assert sorted(tuple(r) for r in same.collect()) == [(2, 2, 2), (4, 2, 2)]
+
+
+def test_collections_are_created_once(spark):
+    there = spark.createDataFrame([("Old", None)], "name string, note string")
+    asked = spark.createDataFrame([(1, " new ", " "), (2, "NEW", "late"), (3, "old", "x"), (4, " ", "x"), (5, None, "x"), (6, "Other", " kept ")], "request_id long, name string, note string")
+    rows, log, refused = keeping.created(there, asked, ("note",))
+    assert sorted((r.name, r.note or "") for r in rows.collect()) == [("Old", ""), ("Other", "kept"), ("new", "")]
+    assert sorted(tuple(r) for r in log.collect()) == [(1, "name", "new"), (6, "name", "Other"), (6, "note", "kept")]
+    assert sorted(r.request_id for r in refused.collect()) == [2, 3, 4, 5]
+
+
+def test_candidates_are_added_once(spark):
+    schema = "book_id long, field string, value string, source string, confidence double"
+    old = spark.createDataFrame([(1, "t", None, "tag", 0.5), (1, "t", "a", "tag", 0.5)], schema)
+    new = spark.createDataFrame([(1, "t", None, "tag", 0.9), (1, "t", "a", "web", 0.1), (1, "t", "a", "web", 0.2), (2, "t", "a", "tag", None)], schema)
+    got = keeping.added_candidates(old, new)
+    assert sorted((r.book_id, r.value or "", r.source, r.confidence or 0) for r in got.collect()) == [(1, "", "tag", 0.5), (1, "a", "tag", 0.5), (1, "a", "web", 0.2), (2, "a", "tag", 0)]
+    assert keeping.added_candidates(got, new).count() == 4
+
+
+def test_descriptions_and_installs(spark):
+    books = spark.createDataFrame([(1, "text", None), (2, " ", None), (3, "text", "fr"), (4, None, None), (5, "text", None)], "book_id long, description string, description_lang string")
+    found = spark.createDataFrame([(1, "de"), (2, "de"), (3, "de"), (4, "de"), (5, None)], "book_id long, lang string")
+    once = keeping.described(books, found)
+    assert {r.book_id: r.description_lang for r in once.collect()} == {1: "de", 2: None, 3: "fr", 4: None, 5: None}
+    asked = spark.createDataFrame([("de-AT", False, 3), ("de-AT", False, 1), ("fr", True, 1), ("pt", False, 2)], "locale string, installed boolean, requested_at long")
+    held = spark.createDataFrame([(1, "DE", None), (2, "de-CH", None), (3, "de", NOW), (4, "de", None)], "book_id long, language string, deleted_at timestamp")
+    waits = spark.createDataFrame([(1, "blocked"), (1, "blocked"), (2, "blocked"), (3, "blocked"), (4, "done")], "book_id long, status string")
+    assert sorted(tuple(r) for r in keeping.pending_installs(asked, held, waits).collect()) == [("de-AT", 1, 2), ("pt", 2, 0)]
