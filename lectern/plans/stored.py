@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import cleanup, hierarchy, journal, names, search_index, tasks
-from lectern.operators import catalog as C
 from lectern.operators import saved_queries as Q
 from lectern.operators.search import quoted
 from lectern.plans.catalog import _CAT, _rows

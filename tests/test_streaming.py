@@ -3,7 +3,6 @@
 import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from lectern.sources.versions import Versioned
 from lectern.streaming import progress
