@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions.codes import ascii_lower
 from lectern.functions.scalar import tag
 from lectern.operators.consensus import corroborated, series_gaps
+from lectern.sources.versions import kept
 
 
 def _elsewhere(pairs: DataFrame, of_book: DataFrame, of_entity: DataFrame, value: str) -> DataFrame:
@@ -48,17 +50,63 @@ def series_scores(pairs: DataFrame, books: DataFrame, book_series: DataFrame) ->
     return _scored(pairs, [(_elsewhere(pairs, books, by, "author_id"), 0.6)])
 
 
-def cascade(names: DataFrame, known: DataFrame, scores) -> DataFrame:
+def leading_authors(asked: DataFrame, entities: DataFrame, books: DataFrame, book_narrator: DataFrame, book_series: DataFrame, margin: float = 0.3) -> DataFrame:
+    """(book_id, entity_id): for each of asked (book_id, name_key) the candidate whose evidence (see author_scores) leads that of all
+    others of the name by more than the margin. entities (name_key, candidate): two at least for each name; a book is in books once.
+
+    Candidates are not paired with all books. What decides are the two best scores, and a short list has them: all with a series, two
+    with a narrator, and where fewer than two have one, two with the publisher and two of any kind. A leader that one with narrator and
+    publisher could still catch is checked against such ones: those listed first, then all for books that are left."""
+    known = books.join(entities.select("name_key", F.col("candidate").alias("author_id")), "author_id").select("name_key", F.col("author_id").alias("candidate"), "book_id", "publisher_id")
+    narrated = book_narrator.select("book_id", "narrator_id").where("narrator_id IS NOT NULL").distinct()
+    in_series = book_series.select("book_id", "series_id").where("series_id IS NOT NULL").distinct()
+    publisher = books.select("book_id", "publisher_id").where("publisher_id IS NOT NULL")
+    held = lambda rows, value: rows.groupBy("name_key", "candidate", value).agg(F.min("book_id").alias("low"), F.max("book_id").alias("high"))
+    another = "low <> book_id OR high <> book_id"
+    by_narrator = kept(held(known.join(narrated, "book_id"), "narrator_id"))
+    by_publisher = kept(held(known.where("publisher_id IS NOT NULL"), "publisher_id"))
+
+    def few(rows: DataFrame, value: str) -> DataFrame:
+        # A book is no other one for its own author only, so of three at least two count.
+        nth = F.row_number().over(Window.partitionBy("name_key", value).orderBy("candidate"))
+        return rows.withColumn("nth", nth).where("nth <= 3").drop("nth")
+
+    few_narrated = kept(few(by_narrator, "narrator_id"))
+    asked = kept(asked.select("book_id", "name_key").distinct())
+    near = asked.join(narrated, "book_id").join(few_narrated, ["name_key", "narrator_id"]).where(another).groupBy("book_id", "name_key").agg(F.min("candidate").alias("a"), F.max("candidate").alias("b"))
+    near = kept(asked.join(near, ["book_id", "name_key"], "left"))
+    serial = kept(asked.join(in_series, "book_id").join(held(known.join(in_series, "book_id"), "series_id"), ["name_key", "series_id"]).where(another).select("book_id", "candidate").distinct())
+    thin, dense = near.where("a IS NULL OR a = b"), near.where("a < b")
+    pair = lambda rows, a, b: rows.select("book_id", F.explode(F.array(a, b)).alias("candidate")).where("candidate IS NOT NULL")
+    published = thin.join(publisher, "book_id").join(few(by_publisher, "publisher_id"), ["name_key", "publisher_id"]).where(another).select("book_id", "candidate")
+    some = thin.join(entities.groupBy("name_key").agg(F.min("candidate").alias("first"), F.max("candidate").alias("last")), "name_key")
+    short = serial.unionByName(pair(thin, "a", "b")).unionByName(pair(dense.join(serial, "book_id", "left_semi"), "a", "b")).unionByName(published).unionByName(pair(some, "first", "last"))
+    scores = author_scores(kept(short.distinct()), books, book_narrator, book_series)
+    leaders = kept(corroborated(scores.withColumnRenamed("candidate", "entity_id"), "book_id", margin))
+
+    def caught(rows: DataFrame, narrators: DataFrame) -> DataFrame:
+        others = rows.join(narrated, "book_id").join(narrators, ["name_key", "narrator_id"]).where(another).where("candidate <> entity_id").select("book_id", "candidate").distinct()
+        others = others.join(publisher, "book_id").join(by_publisher.drop("name_key").distinct(), ["candidate", "publisher_id"])
+        return others.where(another).select("book_id").distinct()
+
+    open_ = kept(leaders.where(F.col("score") - F.lit(0.4 + 0.2) <= margin).join(dense.select("book_id", "name_key"), "book_id"))
+    listed = kept(caught(open_, few_narrated))
+    rest = kept(open_.join(listed, "book_id", "left_anti"))
+    return leaders.join(listed, "book_id", "left_anti").join(caught(rest, by_narrator), "book_id", "left_anti").select("book_id", "entity_id")
+
+
+def cascade(names: DataFrame, known: DataFrame, leading) -> DataFrame:
     """names (row_id, name, external_id) resolved against known (entity_id, alias, external_id): by external id; by an alias in any
     ASCII case that one entity has; of several the one whose evidence leads by the margin, else deferred; new names get an id by
-    hash, equal names the same. scores: pairs (book_id, candidate) to (book_id, candidate, score)."""
+    hash, equal names the same. leading: (book_id, name_key) and (name_key, candidate) to (book_id, entity_id), see leading_authors."""
     key = lambda c: ascii_lower(F.trim(F.col(c)))
     ids = known.where("external_id IS NOT NULL").groupBy("external_id").agg(F.min("entity_id").alias("by_id"))
     entities = known.select(key("alias").alias("name_key"), F.col("entity_id").alias("candidate")).distinct()
     counts = entities.groupBy("name_key").agg(F.count("*").alias("n"), F.min("candidate").alias("only"))
     rows = names.withColumn("name_key", key("name")).join(ids, "external_id", "left").join(counts, "name_key", "left")
-    several = rows.where("by_id IS NULL AND n > 1").select(F.col("row_id").alias("book_id"), "name_key").join(entities, "name_key").select("book_id", "candidate")
-    chosen = corroborated(scores(several).withColumnRenamed("candidate", "entity_id"), "book_id").select(F.col("book_id").alias("row_id"), F.col("entity_id").alias("by_evidence"))
+    several = rows.where("by_id IS NULL AND n > 1").select(F.col("row_id").alias("book_id"), "name_key")
+    shared = entities.join(counts.where("n > 1").select("name_key"), "name_key", "left_semi")
+    chosen = leading(several, shared).select(F.col("book_id").alias("row_id"), F.col("entity_id").alias("by_evidence"))
     rows = rows.join(chosen, "row_id", "left")
     alone = F.col("n") == 1
     outcome = F.when(F.col("by_id").isNotNull(), "external").when(alone, "alias").when(F.col("by_evidence").isNotNull(), "corroborated").when(F.col("n") > 1, "deferred").otherwise("new")

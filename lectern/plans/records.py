@@ -81,7 +81,7 @@ def identity_cascade(spark, d):
     books, narrators, series, _ = _tables(spark, d)
     known = frame(spark, d, "authors").selectExpr("author_id AS entity_id", "concat('Pen ', author_id % 5) AS alias", "CASE WHEN author_id % 4 = 0 THEN concat('X', author_id) END AS external_id")
     names = books.selectExpr("book_id AS row_id", "concat('PEN ', book_id % 7, ' ') AS name", "CASE WHEN book_id % 10 = 0 THEN concat('X', book_id % 12) END AS external_id")
-    out = I.cascade(names, known, lambda pairs: I.author_scores(pairs, books, narrators, series))
+    out = I.cascade(names, known, lambda asked, entities: I.leading_authors(asked, entities, books, narrators, series))
     return out.select("row_id", "outcome", F.when(F.col("outcome") != "new", F.col("entity_id")).alias("entity_id"))
 
 
