@@ -12,12 +12,33 @@ from lectern.operators.consensus import corroborated, series_gaps
 from lectern.sources.versions import kept
 
 
-def _elsewhere(pairs: DataFrame, of_book: DataFrame, of_entity: DataFrame, value: str) -> DataFrame:
+#: Values of one array of a book's or an entity's.
+LISTED = 2048
+
+
+def _lists(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values) of distinct rows (key, value): arrays of LISTED values at most, so a key may have several."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(value))
+    return rows.withColumn("part", F.floor((nth - 1) / LISTED)).groupBy(key, "part").agg(F.collect_list(value).alias("values")).drop("part")
+
+
+def _elsewhere(pairs: DataFrame, of_book: DataFrame, of_entity: DataFrame, value: str, many: bool = False) -> DataFrame:
     """(book_id, candidate) of pairs where the book shares a value with another book of the candidate. of_book (book_id, value);
-    of_entity (candidate, value, book_id) is first brought to its least and largest book: another one is either of them."""
-    held = of_entity.where(F.col(value).isNotNull()).groupBy("candidate", value).agg(F.min("book_id").alias("low"), F.max("book_id").alias("high"))
-    rows = pairs.join(of_book.where(F.col(value).isNotNull()).select("book_id", value).distinct(), "book_id").join(held, ["candidate", value])
-    return rows.where("low <> book_id OR high <> book_id").select("book_id", "candidate").distinct()
+    of_entity (candidate, value, book_id) is first brought to its least and largest book: another one is either of them.
+
+    many: books have many values. A pair is then compared with lists of both sides instead of making a row for each value of
+    the book; pairs of a candidate's own books, few for each book, are looked at by value."""
+    rows = of_book.where(F.col(value).isNotNull()).select("book_id", value).distinct()
+    of_entity = of_entity.where(F.col(value).isNotNull())
+    held = of_entity.groupBy("candidate", value).agg(F.min("book_id").alias("low"), F.max("book_id").alias("high"))
+    if many:
+        held, rows = kept(held), kept(rows)
+        owned = of_entity.select("book_id", "candidate").distinct()
+        mine, theirs = _lists(rows, "book_id", value).withColumnRenamed("values", "mine"), _lists(held.select("candidate", value), "candidate", value).withColumnRenamed("values", "theirs")
+        others = pairs.join(owned, ["book_id", "candidate"], "left_anti").join(mine, "book_id").join(theirs, "candidate").where(F.arrays_overlap("mine", "theirs")).select("book_id", "candidate")
+        pairs = pairs.join(owned, ["book_id", "candidate"], "left_semi")
+    own = pairs.join(rows, "book_id").join(held, ["candidate", value]).where("low <> book_id OR high <> book_id").select("book_id", "candidate")
+    return (own.unionByName(others) if many else own).distinct()
 
 
 def _scored(pairs: DataFrame, evidence: list[tuple[DataFrame, float]]) -> DataFrame:
@@ -32,7 +53,7 @@ def author_scores(pairs: DataFrame, books: DataFrame, book_narrator: DataFrame,
     """Evidence that candidates wrote a book: a narrator (0.4), publisher (0.2) or series (0.5) of another book of theirs."""
     by = books.select(F.col("author_id").alias("candidate"), "book_id", "publisher_id")
     return _scored(pairs, [
-        (_elsewhere(pairs, book_narrator, by.join(book_narrator, "book_id"), "narrator_id"), 0.4),
+        (_elsewhere(pairs, book_narrator, by.join(book_narrator, "book_id"), "narrator_id", many=True), 0.4),
         (_elsewhere(pairs, books, by, "publisher_id"), 0.2),
         (_elsewhere(pairs, book_series, by.join(book_series.select("book_id", "series_id"), "book_id"), "series_id"), 0.5),
     ])

@@ -36,3 +36,15 @@ def test_cascade_makes_no_pairs(spark):
     out = I.cascade(names, known, lambda asked, entities: I.leading_authors(asked, entities, books, narrators, series))
     assert {(r.row_id, r.entity_id) for r in out.where("outcome = 'corroborated'").collect()} == {(7, 9), (9, 7)}
     assert out.where("outcome = 'deferred'").count() == 19_998
+
+
+def test_lists_of_values_by_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(I, "LISTED", 3)
+    rng = random.Random(5)
+    pairs = spark.createDataFrame(sorted({(rng.randrange(40), rng.randrange(9)) for _ in range(300)}), "book_id long, candidate long")
+    of_book = spark.createDataFrame([(b, rng.choice([None, *range(90)])) for b in range(40) for _ in range(rng.randrange(9))], "book_id long, v long")
+    by = spark.createDataFrame([(b, rng.randrange(9)) for b in range(40)], "book_id long, candidate long").join(of_book, "book_id")
+    one, other = ({tuple(r) for r in I._elsewhere(pairs, of_book, by, "v", many).collect()} for many in (False, True))
+    assert one == other and 20 < len(one) < 250
+    sets = I._elsewhere(pairs, of_book, by, "v", True)
+    assert sets.count() == len(one) and "arrays_overlap" in sets._jdf.queryExecution().optimizedPlan().toString()
