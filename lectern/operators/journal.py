@@ -53,8 +53,8 @@ def replayed(state: DataFrame, journal: DataFrame) -> tuple[DataFrame, DataFrame
     rows = state.select(*FIELD, "value", F.lit(True).alias("there")).join(done, FIELD, "full").join(back, FIELD, "full")
     value = F.when(F.col("last").isNotNull(), F.col("last.after")).when(F.coalesce("left", F.lit(False)), F.col("first.before")).otherwise(F.col("value"))
     new_state = rows.select(*FIELD, value.alias("value")).where("value is not null")
-    marks = pending.select("op_id", "batch").join(failed.withColumn("bad", F.lit(True)), "batch", "left").select("op_id", F.when(F.col("bad"), "failed").otherwise("done").alias("mark"))
-    new_journal = journal.join(marks, "op_id", "left").withColumn("progress", F.coalesce("mark", "progress")).select(*journal.columns)
+    mark = F.when(F.col("progress") != "pending", F.col("progress")).when(F.col("bad"), "failed").otherwise("done")
+    new_journal = journal.withColumn("batch", batch).join(failed.withColumn("bad", F.lit(True)), "batch", "left").withColumn("progress", mark).select(*journal.columns)
     return new_state, new_journal
 
 

@@ -24,13 +24,12 @@ def limited(events: DataFrame, key: str, at: str, most: int, seconds: int) -> Da
 
 def ready(stages: DataFrame, edges: DataFrame, progress: DataFrame) -> DataFrame:
     """(book_id, stage) that may start: all required stages succeeded or skipped, itself not started or failed."""
-    done = progress.where(F.col("status").isin("succeeded", "skipped")).select("book_id", F.col("stage").alias("requires"), F.lit(1).alias("ok"))
-    books = progress.select("book_id").distinct()
-    wanted = books.join(F.broadcast(stages.select("stage")))  # each book has each of the few stages
-    need = wanted.join(F.broadcast(edges), "stage", "left").join(done, ["book_id", "requires"], "left")
-    able = need.groupBy("book_id", "stage").agg(F.bool_and(F.col("requires").isNull() | F.col("ok").isNotNull()).alias("able")).where("able").drop("able")
-    busy = progress.where(F.col("status").isin("succeeded", "skipped", "running")).select("book_id", "stage")
-    return able.join(busy, ["book_id", "stage"], "left_anti")
+    mark = lambda *status: F.collect_set(F.when(F.col("book_id").isNotNull() & F.col("status").isin(*status), F.col("stage")))
+    # A book is one row with at most each of the few stages in its lists; it is dealt once.
+    books = progress.groupBy("book_id").agg(mark("succeeded", "skipped").alias("ok"), mark("succeeded", "skipped", "running").alias("busy"))
+    wanted = stages.select("stage").join(edges, "stage", "left").groupBy("stage").agg(F.collect_set("requires").alias("requires"))
+    able = ~F.coalesce(F.array_contains("busy", F.col("stage")), F.lit(False)) & (F.size(F.array_except("requires", "ok")) == 0)
+    return books.join(F.broadcast(wanted)).where(able).select("book_id", "stage")
 
 
 def backoff(failures: Column, base: Column, cap: int = 86_400) -> Column:
