@@ -15,6 +15,20 @@ from lectern.sources.versions import kept
 #: Values of one array of a book's or an entity's.
 LISTED = 2048
 
+#: Rows of the largest table that a task gets of it when evidence is dealt out. They are two numbers each, so parts of as many bytes
+#: as adaptive execution aims at hold millions, which take a hundred times their shuffled bytes in maps and sorts.
+DEALT = 1 << 19
+
+
+def _parts(*tables: DataFrame) -> int:
+    """How many parts the tables' rows are dealt to: as many as the largest needs."""
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, *(-(-t.count() // DEALT) for t in tables))
+
+
+def _joined(left: DataFrame, right: DataFrame, key: list[str], parts: int) -> DataFrame:
+    """The rows of both with equal keys, both dealt out by them: the right side is not broadcast, however small its files are."""
+    return left.repartition(parts, *key).join(right.repartition(parts, *key).hint("merge"), key)
+
 
 def _lists(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, values) of distinct rows (key, value): arrays of LISTED values at most, so a key may have several."""
@@ -22,53 +36,62 @@ def _lists(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.withColumn("part", F.floor((nth - 1) / LISTED)).groupBy(key, "part").agg(F.collect_list(value).alias("values")).drop("part")
 
 
-def _elsewhere(pairs: DataFrame, of_book: DataFrame, of_entity: DataFrame, value: str, many: bool = False) -> DataFrame:
+def _elsewhere(pairs: DataFrame, of_book: DataFrame, of_entity: DataFrame, value: str, many: bool = False, parts: int | None = None) -> DataFrame:
     """(book_id, candidate) of pairs where the book shares a value with another book of the candidate. of_book (book_id, value);
     of_entity (candidate, value, book_id) is first brought to its least and largest book: another one is either of them.
+    Large sides are dealt to that many parts (see _parts). A pair comes once for each of its rows and shared values.
 
     many: books have many values. A pair is then compared with lists of both sides instead of making a row for each value of
-    the book; pairs of a candidate's own books, few for each book, are looked at by value."""
-    rows = of_book.where(F.col(value).isNotNull()).select("book_id", value).distinct()
-    of_entity = of_entity.where(F.col(value).isNotNull())
-    held = of_entity.groupBy("candidate", value).agg(F.min("book_id").alias("low"), F.max("book_id").alias("high"))
+    the book; pairs of a candidate's own books, few for each book, are looked at by value. A pair comes once."""
+    parts = parts or _parts(pairs, of_book)
+    rows = of_book.where(F.col(value).isNotNull()).select("book_id", value).repartition(parts, "book_id", value).distinct()
+    of_entity = of_entity.where(F.col("candidate").isNotNull() & F.col(value).isNotNull())
+    held = of_entity.repartition(parts, "candidate", value).groupBy("candidate", value).agg(F.min("book_id").alias("low"), F.max("book_id").alias("high"))
+    pairs = pairs.where("book_id IS NOT NULL AND candidate IS NOT NULL")
     if many:
-        held, rows = kept(held), kept(rows)
-        owned = of_entity.select("book_id", "candidate").distinct()
-        mine, theirs = _lists(rows, "book_id", value).withColumnRenamed("values", "mine"), _lists(held.select("candidate", value), "candidate", value).withColumnRenamed("values", "theirs")
-        others = pairs.join(owned, ["book_id", "candidate"], "left_anti").join(mine, "book_id").join(theirs, "candidate").where(F.arrays_overlap("mine", "theirs")).select("book_id", "candidate")
-        pairs = pairs.join(owned, ["book_id", "candidate"], "left_semi")
-    own = pairs.join(rows, "book_id").join(held, ["candidate", value]).where("low <> book_id OR high <> book_id").select("book_id", "candidate")
-    return (own.unionByName(others) if many else own).distinct()
-
-
-def _scored(pairs: DataFrame, evidence: list[tuple[DataFrame, float]]) -> DataFrame:
-    out, total = pairs.distinct(), F.lit(0.0)
+        held, rows, pair = kept(held), kept(rows), ["book_id", "candidate"]
+        pairs, owned = (t.select(*pair).repartition(parts, *pair).distinct() for t in (pairs, of_entity))
+        lists = lambda t, key, name: _lists(t.select(key, value).repartition(parts, key), key, value).withColumnRenamed("values", name)
+        others = _joined(pairs.join(owned.hint("merge"), pair, "left_anti"), lists(rows, "book_id", "mine"), ["book_id"], parts)
+        others = others.join(lists(held, "candidate", "theirs"), "candidate").where(F.arrays_overlap("mine", "theirs")).select(*pair)
+        pairs = pairs.join(owned.hint("merge"), pair, "left_semi")
+    own = _joined(_joined(pairs, rows, ["book_id"], parts), held, ["candidate", value], parts).where("low <> book_id OR high <> book_id").select("book_id", "candidate")
+    return own.unionByName(others).distinct() if many else own
+
+
+def _scored(pairs: DataFrame, evidence: list[tuple[DataFrame, float]], parts: int) -> DataFrame:
+    """(book_id, candidate, score) of each of pairs once: the weights of the evidence (book_id, candidate; of pairs) that has it."""
+    pair = ["book_id", "candidate"]
+    rows, total = pairs.select(*pair, F.lit(0).alias("found")), F.lit(0.0)
     for i, (found, weight) in enumerate(evidence):
-        out = out.join(found.withColumn(f"e{i}", F.lit(weight)), ["book_id", "candidate"], "left")
-        total = total + F.coalesce(F.col(f"e{i}"), F.lit(0.0))
-    return out.select("book_id", "candidate", total.alias("score"))
+        rows = rows.unionByName(found.select(*pair, F.lit(1 << i).alias("found")))
+        total = total + F.when(F.col("found").bitwiseAND(1 << i) != 0, F.lit(weight)).otherwise(F.lit(0.0))
+    return rows.repartition(parts, *pair).groupBy(*pair).agg(F.bit_or("found").alias("found")).select(*pair, total.alias("score"))
 
 
 def author_scores(pairs: DataFrame, books: DataFrame, book_narrator: DataFrame, book_series: DataFrame) -> DataFrame:
     """Evidence that candidates wrote a book: a narrator (0.4), publisher (0.2) or series (0.5) of another book of theirs."""
-    by = books.select(F.col("author_id").alias("candidate"), "book_id", "publisher_id")
+    by, parts = books.select(F.col("author_id").alias("candidate"), "book_id", "publisher_id"), _parts(pairs, book_narrator, book_series)
+    narrators, series = (rows.select("book_id", value) for rows, value in ((book_narrator, "narrator_id"), (book_series, "series_id")))
     return _scored(pairs, [
-        (_elsewhere(pairs, book_narrator, by.join(book_narrator, "book_id"), "narrator_id", many=True), 0.4),
-        (_elsewhere(pairs, books, by, "publisher_id"), 0.2),
-        (_elsewhere(pairs, book_series, by.join(book_series.select("book_id", "series_id"), "book_id"), "series_id"), 0.5),
-    ])
+        (_elsewhere(pairs, narrators, _joined(narrators, by, ["book_id"], parts), "narrator_id", True, parts), 0.4),
+        (_elsewhere(pairs, books, by, "publisher_id", parts=parts), 0.2),
+        (_elsewhere(pairs, series, _joined(series, by, ["book_id"], parts), "series_id", parts=parts), 0.5),
+    ], parts)
 
 
 def narrator_scores(pairs: DataFrame, books: DataFrame, book_narrator: DataFrame) -> DataFrame:
     """Evidence for narrators: the publisher (0.2) of another book that they read."""
-    by = book_narrator.select(F.col("narrator_id").alias("candidate"), "book_id").join(books.select("book_id", "publisher_id"), "book_id")
-    return _scored(pairs, [(_elsewhere(pairs, books, by, "publisher_id"), 0.2)])
+    parts = _parts(pairs, book_narrator)
+    by = _joined(book_narrator.select(F.col("narrator_id").alias("candidate"), "book_id"), books.select("book_id", "publisher_id"), ["book_id"], parts)
+    return _scored(pairs, [(_elsewhere(pairs, books, by, "publisher_id", parts=parts), 0.2)], parts)
 
 
 def series_scores(pairs: DataFrame, books: DataFrame, book_series: DataFrame) -> DataFrame:
     """Evidence for series: the author (0.6) of another book in them."""
-    by = book_series.select(F.col("series_id").alias("candidate"), "book_id").join(books.select("book_id", "author_id"), "book_id")
-    return _scored(pairs, [(_elsewhere(pairs, books, by, "author_id"), 0.6)])
+    parts = _parts(pairs, book_series)
+    by = _joined(book_series.select(F.col("series_id").alias("candidate"), "book_id"), books.select("book_id", "author_id"), ["book_id"], parts)
+    return _scored(pairs, [(_elsewhere(pairs, books, by, "author_id", parts=parts), 0.6)], parts)
 
 
 def leading_authors(asked: DataFrame, entities: DataFrame, books: DataFrame, book_narrator: DataFrame, book_series: DataFrame, margin: float = 0.3) -> DataFrame:

@@ -38,7 +38,7 @@ _EVIDENCE = with_("books", "book_narrator", "book_series", "authors") + ", " + _
 
 def _tables(spark, d):
     books, narrators, series = (frame(spark, d, n) for n in ("books", "book_narrator", "book_series"))
-    pairs = books.select("book_id", F.col("author_id").alias("candidate")).unionByName(narrators.select("book_id", F.col("narrator_id").alias("candidate"))).distinct()
+    pairs = books.select("book_id", F.col("author_id").alias("candidate")).unionByName(narrators.select("book_id", F.col("narrator_id").alias("candidate")))
     return books, narrators, series, pairs
 
 
@@ -58,7 +58,7 @@ def narrator_evidence(spark, d):
 SELECT book_id, candidate, CASE WHEN EXISTS (SELECT 1 FROM books a JOIN books b ON b.author_id = a.author_id AND b.book_id <> a.book_id JOIN book_series m ON m.book_id = b.book_id AND m.series_id = p.candidate WHERE a.book_id = p.book_id) THEN 0.6::DOUBLE ELSE 0 END AS score FROM p""")
 def series_evidence(spark, d):
     books, _, series, _ = _tables(spark, d)
-    return I.series_scores(series.select("book_id", F.col("series_id").alias("candidate")).distinct(), books, series)
+    return I.series_scores(series.select("book_id", F.col("series_id").alias("candidate")), books, series)
 
 
 @query("pending_choices", _EVIDENCE + _AUTHOR + "SELECT book_id, count(*) AS n, string_agg(concat(CAST(candidate AS VARCHAR), ' ', name), '; ' ORDER BY -score, candidate) AS choices FROM s JOIN authors a ON a.author_id = s.candidate GROUP BY book_id")
