@@ -2,10 +2,11 @@
 
 Words are lower-cased (A-Z) runs without blanks inside pieces of a text between punctuation and line ends. Level by
 level: texts are sequences of slots, one for each frequent phrase of k words, and two slots side by side are a phrase of
-k + 1 words. Such a pair is a candidate only if both its phrases are frequent (Apriori) and so are the sums of all that fall
-into its two bins of a fixed-size array of hashed counts made one pass before. Candidates get a minimal perfect hash with their
-keys stored (perfect_hash); mappers look up the pairs, check the stored key, add ones into numpy arrays by slot, and
-a tree sums the arrays. What reaches `least` is frequent. A cut's two sides are phrases of lower levels, read by slot.
+k + 1 words. Such a pair is a candidate only if both its phrases are frequent (Apriori), so are the sums of all that fall into its
+two bins of a fixed-size array of hashed counts made one pass before, and so is the sum of what all tasks met of it: bins fill as
+the input grows and then leave out nothing, while the sums keep candidates to one for each `least` words. Candidates get a minimal
+perfect hash with their keys stored (perfect_hash); mappers look up the pairs, check the stored key, add ones into numpy arrays by
+slot, and a tree sums the arrays. What reaches `least` is frequent. A cut's two sides are phrases of lower levels, read by slot.
 
 A pair of slots names a phrase exactly, so nothing hangs on a hash: words are checked against the stored words, pairs
 against the stored pairs, and bins only leave out what can't be frequent. A sequence gets shorter at each level, as
@@ -36,7 +37,8 @@ from lectern.llm.shared import discard, written
 
 #: Bins of hashed pairs: 2 ** BINS counts, of which one bit each goes to the tasks; a pair has one in each half.
 BINS = 22
-BUCKETS = 64
+#: Buckets of candidates at least, and words for each one more: a group of a bucket holds a bounded part of all pairs.
+BUCKETS, WORDS = 64, 1 << 21
 #: Bytes of text, and slots, looked at together; pairs that a task holds before it hands them on.
 TEXT, SLOTS, HELD = 4 << 20, 1 << 20, 2 << 20
 BREAK = np.zeros(256, bool)
@@ -229,54 +231,65 @@ def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def distinct_pairs(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((q, p))
-    p, q = p[order], q[order]
-    new = np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])]) if len(p) else np.zeros(0, bool)
-    return p[new], q[new]
+def summed(p: np.ndarray, q: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs (p, q) of slots in order, and the sum of each one's n."""
+    if len(p) and max(int(p.max()), int(q.max())) < 1 << 31:
+        order = np.argsort(p << 32 | q)
+    else:
+        order = np.lexsort((q, p))
+    p, q, n = p[order], q[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])])) if len(p) else np.zeros(0, np.int64)
+    return p[first], q[first], np.add.reduceat(n, first) if len(p) else n
 
 
-PAIRS = "id int, part int, p binary, q binary"
+PAIRS = "id int, part int, widths array<int>, p binary, q binary, n binary"
 
 
-def candidates(sequence: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Distinct pairs (p, q) of slots side by side in bins that hold enough. A task hands them on as arrays, one for each of
-    BUCKETS buckets of hashes; these are united up a tree, and a row each only then."""
+def candidates(sequence: DataFrame, bits: np.ndarray, least: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(distinct pairs (p, q) of slots side by side, in bins that hold enough, that come `least` times; the written table that they
+    are read from). A task hands its pairs and their counts on as arrays, one for each of the buckets of hashes; these are added
+    up a tree, and are a row each only then."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = (np.zeros(0, np.int64),) * 3
+        held = none
         for s in sequences(batches):
             _, p, q, h = pairs_of(s)
             good = passing(bits, h)
-            held = tuple(np.concatenate(x) for x in zip(held, distinct_pairs(p[good], q[good]), strict=True))
+            held = tuple(np.concatenate(x) for x in zip(held, summed(p[good], q[good], np.ones(int(good.sum()), np.int64)), strict=True))
             if len(held[0]) > HELD:
-                held = distinct_pairs(*held)
+                held = summed(*held)
                 if len(held[0]) > HELD // 2:
                     yield from dealt(*held, part)
-                    held = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield from dealt(*distinct_pairs(*held), part)
+                    held = none
+        yield from dealt(*summed(*held), part)
 
-    def dealt(p: np.ndarray, q: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
-        bucket = (H.pair_hash(p, q) >> np.uint64(24)).astype(np.int64) % BUCKETS
+    def row(i: int, part: int, *arrays: np.ndarray) -> pa.RecordBatch:
+        widths, data = zip(*map(H.narrow, arrays), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part], pa.int32()), pa.array([widths], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in data)], ["id", "part", "widths", *"pqn"])
+
+    def dealt(p: np.ndarray, q: np.ndarray, n: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
+        bucket = (H.pair_hash(p, q) >> np.uint64(24)).astype(np.int64) % buckets
         order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(bounds)).tolist():
             own = order[bounds[b] : bounds[b + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([p[own].tobytes()], pa.binary()), pa.array([q[own].tobytes()], pa.binary())], ["id", "part", "p", "q"])
+            yield row(b, part, p[own], q[own], n[own])
 
-    def read(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, np.int64) for x in column.to_pylist()])
+    def read(rows: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+        widths = rows.column("widths").to_pylist()
+        return [np.concatenate([H.wide(w[i], x) for w, x in zip(widths, rows.column(c).to_pylist(), strict=True)]) for i, c in enumerate("pqn")]
 
     def unite(group: pa.Table) -> pa.Table:
-        p, q = distinct_pairs(read(group.column("p")), read(group.column("q")))
-        return pa.table({"id": group.column("id").slice(0, 1), "part": group.column("part").slice(0, 1), "p": pa.array([p.tobytes()], pa.binary()), "q": pa.array([q.tobytes()], pa.binary())})
+        return pa.Table.from_batches([row(group.column("id")[0].as_py(), group.column("part")[0].as_py(), *summed(*read(group)))])
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                yield pa.RecordBatch.from_arrays([pa.array(read(A.column(b.slice(i, 1), c))) for c in "pq"], ["p", "q"])
+                p, q, n = read(b.slice(i, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(p[n >= least]), pa.array(q[n >= least])], ["p", "q"])
 
     arrays = written(sequence.mapInArrow(run, PAIRS), "pairs")
     most = arrays.agg(F.max("part")).first()[0] or 0
@@ -285,7 +298,7 @@ def candidates(sequence: DataFrame, bits: np.ndarray) -> DataFrame:
         united = united.withColumn("part", F.floor(F.col("part") / H.ARITY).cast("int")).groupBy("id", "part").applyInArrow(unite, PAIRS)
         most //= H.ARITY
         if not most:
-            return united.mapInArrow(unpack, "p bigint, q bigint")
+            return united.mapInArrow(unpack, "p bigint, q bigint"), arrays
 
 
 def next_pass(sequence: DataFrame, bits: np.ndarray, uri: str, shards: int, more: bool) -> DataFrame:
@@ -327,6 +340,7 @@ def frequent(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[list[
     rows = rows_of(docs)
     counts = written(word_counts(rows).where(F.col("word").isNull() | (F.col("a") >= least)), "words")
     totals = counts.where("word is null").select("lang", F.col("a").alias("n"))
+    buckets = max(BUCKETS, (totals.agg(F.sum("n")).first()[0] or 0) // WORDS)
     words = counts.where("word is not null")
     shards, n = H.build(keyed(words), ("lang", "word"))
     none = F.array().cast("array<bigint>")
@@ -339,10 +353,9 @@ def frequent(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[list[
         bits = bin_bits(of_kind(made, "bin"), least)
         if not bits.any():
             break
-        found = candidates(sequence, bits)
-        if k > 2:
-            found = found.join(before.select(F.col("slot").alias("p")), "p", "left_semi").join(before.select(F.col("slot").alias("q")), "q", "left_semi")
+        found, arrays = candidates(sequence, bits, least, buckets)
         found = written(found, "candidates")
+        discard(arrays)
         shards, n = H.build(found)
         after = written(next_pass(sequence, bits, shards.written_to, n, k < longest), "pass")
         a = H.each_count(H.tree_sum(of_kind(after, "count")), least)

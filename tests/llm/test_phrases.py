@@ -61,6 +61,37 @@ def test_many_groups_of_shards(spark, monkeypatch):
     assert asked(df, least=3) == want
 
 
+def test_full_bins(spark, monkeypatch):
+    # At 6 GB all bins hold enough: candidates were all pairs of frequent parts, and each task went through the hashes of all of them.
+    rows = rows_for(4)
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(7)
+    build, sizes = perfect_hash.build, []
+
+    def built(keys, *extra):
+        sizes.append(keys.count())
+        return build(keys, *extra)
+
+    monkeypatch.setattr(phrases, "bin_bits", lambda bins, least: np.full(1 << (phrases.BINS - 3), 255, np.uint8))
+    monkeypatch.setattr(phrases, "WORDS", 300)
+    monkeypatch.setattr(perfect_hash, "ARITY", 2)
+    monkeypatch.setattr(perfect_hash, "build", built)
+    levels, _ = phrases.frequent(df, 4)
+    assert sizes == [level.count() for level in levels] and sizes[1] > 20
+    assert asked(df, least=4) == brute(rows, 4)
+
+
+def test_sums_of_pairs():
+    rng = np.random.default_rng(7)
+    for low, high in ((0, 9), (0, 1 << 20), ((1 << 40) - 5, 1 << 40)):
+        p, q, n = rng.integers(low, high, 3000), rng.integers(low, high, 3000), rng.integers(1, 50, 3000)
+        want = {}
+        for a, b, c in zip(p.tolist(), q.tolist(), n.tolist(), strict=True):
+            want[a, b] = want.get((a, b), 0) + c
+        a, b, c = (x.tolist() for x in phrases.summed(p, q, n))
+        assert list(zip(a, b, strict=True)) == sorted(want) and dict(zip(zip(a, b, strict=True), c, strict=True)) == want
+    assert [len(x) for x in phrases.summed(*(np.zeros(0, np.int64),) * 3)] == [0, 0, 0]
+
+
 def test_counts_beyond_64_bits(spark):
     df = spark.createDataFrame([(10**13, 10**15, [10**6], [10**8])], "a bigint, n bigint, lefts array<bigint>, rights array<bigint>")
     got = df.select(F.expr("(cast(1000 as decimal(38,0)) * cast(a as decimal(38,0)) * cast(n as decimal(38,0))) div (cast(lefts[0] as decimal(38,0)) * cast(rights[0] as decimal(38,0)))").alias("x")).first().x
