@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lectern.functions.codes import ascii_lower
 from lectern.functions.scalar import tag
 from lectern.operators.consensus import corroborated, series_gaps
+from lectern.operators.overlap import shared
 from lectern.sources.versions import kept
 
 
@@ -58,25 +59,40 @@ def _elsewhere(pairs: DataFrame, of_book: DataFrame, of_entity: DataFrame, value
     return own.unionByName(others).distinct() if many else own
 
 
+def _total(found: Column, weights: list[float]) -> Column:
+    """The sum of the weights i whose bit 2 ** i is set."""
+    total = F.lit(0.0)
+    for i, weight in enumerate(weights):
+        total = total + F.when(found.bitwiseAND(F.lit(1 << i)) != 0, F.lit(weight)).otherwise(F.lit(0.0))
+    return total
+
+
 def _scored(pairs: DataFrame, evidence: list[tuple[DataFrame, float]], parts: int) -> DataFrame:
     """(book_id, candidate, score) of each of pairs once: the weights of the evidence (book_id, candidate; of pairs) that has it."""
     pair = ["book_id", "candidate"]
-    rows, total = pairs.select(*pair, F.lit(0).alias("found")), F.lit(0.0)
-    for i, (found, weight) in enumerate(evidence):
+    rows = pairs.select(*pair, F.lit(0).alias("found"))
+    for i, (found, _) in enumerate(evidence):
         rows = rows.unionByName(found.select(*pair, F.lit(1 << i).alias("found")))
-        total = total + F.when(F.col("found").bitwiseAND(1 << i) != 0, F.lit(weight)).otherwise(F.lit(0.0))
-    return rows.repartition(parts, *pair).groupBy(*pair).agg(F.bit_or("found").alias("found")).select(*pair, total.alias("score"))
+    return rows.repartition(parts, *pair).groupBy(*pair).agg(F.bit_or("found").alias("found")).select(*pair, _total(F.col("found"), [w for _, w in evidence]).alias("score"))
+
+
+#: Weights of evidence for authors: a narrator, the publisher and a series of another book of theirs.
+AUTHOR = [0.4, 0.2, 0.5]
+
+
+def _of_authors(pairs: DataFrame, books: DataFrame, book_narrator: DataFrame, book_series: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Candidates of each book and what speaks for them (bits as in AUTHOR), see overlap.shared."""
+    narrators, series = book_narrator.select("book_id", "narrator_id"), book_series.select("book_id", "series_id")
+    publisher = books.select(F.col("author_id").alias("candidate"), F.col("publisher_id").alias("value"), "book_id")
+    kinds = [(narrators, None), (books.select("book_id", "publisher_id"), publisher), (series, None)]
+    return shared(pairs, books.select("book_id", F.col("author_id").alias("candidate")), kinds, _parts(pairs, book_narrator, book_series), names)
 
 
 def author_scores(pairs: DataFrame, books: DataFrame, book_narrator: DataFrame, book_series: DataFrame) -> DataFrame:
     """Evidence that candidates wrote a book: a narrator (0.4), publisher (0.2) or series (0.5) of another book of theirs."""
-    by, parts = books.select(F.col("author_id").alias("candidate"), "book_id", "publisher_id"), _parts(pairs, book_narrator, book_series)
-    narrators, series = (rows.select("book_id", value) for rows, value in ((book_narrator, "narrator_id"), (book_series, "series_id")))
-    return _scored(pairs, [
-        (_elsewhere(pairs, narrators, _joined(narrators, by, ["book_id"], parts), "narrator_id", True, parts), 0.4),
-        (_elsewhere(pairs, books, by, "publisher_id", parts=parts), 0.2),
-        (_elsewhere(pairs, series, _joined(series, by, ["book_id"], parts), "series_id", parts=parts), 0.5),
-    ], parts)
+    rows = _of_authors(pairs, books, book_narrator, book_series).select("book_id", F.explode(F.arrays_zip("candidates", "found")).alias("x"))
+    rows = rows.select("book_id", F.col("x.candidates").alias("candidate"), _total(F.col("x.found"), AUTHOR).alias("score"))
+    return rows.unionByName(pairs.where("book_id IS NULL OR candidate IS NULL").select("book_id", "candidate").distinct().withColumn("score", F.lit(0.0)))
 
 
 def narrator_scores(pairs: DataFrame, books: DataFrame, book_narrator: DataFrame) -> DataFrame:
