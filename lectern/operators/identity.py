@@ -173,12 +173,29 @@ def cascade(names: DataFrame, known: DataFrame, leading) -> DataFrame:
     return rows.select("row_id", "name", outcome.alias("outcome"), F.coalesce("by_id", F.when(alone, F.col("only")), "by_evidence", new_id).alias("entity_id"))
 
 
+def _best_first(c: Column) -> Column:
+    """An array of (order, id, display, score) as (id, display, score), sorted."""
+    return F.transform(F.array_sort(c), lambda x: F.struct(x["id"].alias("id"), x["display"].alias("display"), x["score"].alias("score")))
+
+
 def pending(scores: DataFrame, names: DataFrame) -> DataFrame:
     """Per book, its candidates (id, display, score), best first, as a list that someone has to choose from. scores (book_id,
     candidate, score), names (candidate, display)."""
     row = F.struct((-F.col("score")).alias("order"), F.col("candidate").alias("id"), "display", "score")
-    rows = scores.join(names, "candidate").groupBy("book_id").agg(F.array_sort(F.collect_list(row)).alias("c"))
-    return rows.select("book_id", F.transform("c", lambda x: F.struct(x["id"].alias("id"), x["display"].alias("display"), x["score"].alias("score"))).alias("candidates"))
+    return scores.join(names, "candidate").groupBy("book_id").agg(_best_first(F.collect_list(row)).alias("candidates"))
+
+
+def pending_authors(pairs: DataFrame, books: DataFrame, book_narrator: DataFrame, book_series: DataFrame, names: DataFrame) -> DataFrame:
+    """pending() of author_scores(), listed and named where a book's candidates are looked at."""
+
+    def row(x: Column) -> Column:
+        score = _total(x["found"], AUTHOR)
+        return F.struct((-score).alias("order"), x["candidates"].alias("id"), x["displays"].alias("display"), score.alias("score"))
+
+    lists = _of_authors(pairs, books, book_narrator, book_series, names).where(F.size("candidates") > 0)
+    rows = lists.select("book_id", _best_first(F.transform(F.arrays_zip("candidates", "found", "displays"), row)).alias("candidates"))
+    bookless = pairs.where("book_id IS NULL AND candidate IS NOT NULL").select("book_id", F.col("candidate").cast("long").alias("candidate")).distinct()
+    return rows.unionByName(pending(bookless.withColumn("score", F.lit(0.0)), names.select("candidate", F.col("display").cast("string").alias("display"))))
 
 
 def exalted(aliases: DataFrame, chosen: DataFrame, key: str) -> DataFrame:

@@ -65,7 +65,7 @@ def series_evidence(spark, d):
 def pending_choices(spark, d):
     books, narrators, series, pairs = _tables(spark, d)
     names = frame(spark, d, "authors").select(F.col("author_id").alias("candidate"), F.col("name").alias("display"))
-    out = I.pending(I.author_scores(pairs, books, narrators, series), names)
+    out = I.pending_authors(pairs, books, narrators, series, names)
     return out.select("book_id", F.size("candidates").cast("long").alias("n"), F.array_join(F.transform("candidates", lambda c: F.concat_ws(" ", c["id"], c["display"])), "; ").alias("choices"))
 
 

@@ -116,6 +116,22 @@ def test_authors_without_a_list_for_each_pair(spark, monkeypatch):
     assert "MapInArrow" in plan and "Join" not in plan and "arrays_overlap" not in plan
 
 
+def test_choices_without_a_shuffle_of_names(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "HELD", 200)
+    t, want, names = _odd_tables(spark)
+    rows = {}
+    for (b, c), s in want.items():
+        for n, display in names:
+            if c is not None and n == c:
+                rows.setdefault(b, []).append((-s, c, display is not None, display or "", s))
+    want = {b: [(c, d if known else None, s) for _, c, known, d, s in sorted(r)] for b, r in rows.items()}
+    out = I.pending_authors(*t)
+    got = {r.book_id: [tuple(x) for x in r.candidates] for r in out.collect()}
+    assert got == want and out.count() == len(want) and None in want
+    scores = {r.book_id: [tuple(x) for x in r.candidates] for r in I.pending(I.author_scores(*t[:4]), t[4]).collect()}
+    assert scores == want
+
+
 def test_place_in_own_slices():
     rng = np.random.default_rng(1)
     slices = [np.unique(rng.integers(-30, 30, n)) for n in (1, 2, 3, 40, 64, 7, 1)]
